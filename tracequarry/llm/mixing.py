@@ -18,8 +18,8 @@ from .common import WORD, materialize
 WEIGHTS = (5.0, 2.0, 1.0)
 SHARE = 1.5
 MOST = 2.0
-SLICE_ROWS = 20_000
-MOST_SLICES = 4096
+SLICE_ROWS = 1_000
+MOST_SLICES = 65_536
 
 
 def word_count(text: Column) -> Column:

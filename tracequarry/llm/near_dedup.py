@@ -5,14 +5,15 @@ nothing. Each class gets a MinHash signature, and one path, a fixed order of sig
 values, in each of several trees. In every tree the sorted paths fall into regions of
 equal prefix. A region of few classes is a leaf: its classes take their neighbours in
 sorted order, which share the longest prefixes, as candidates. A crowded region is cut
-by a longer prefix, and besides, each of its classes takes the region's centres as
-candidates, which keeps what the longer prefix would part. So candidates grow with the
-rows, whatever the size of a group of copies.
+by a longer prefix, and besides, each of its classes takes some of the region's classes,
+its centres, as candidates, which keeps what the longer prefix would part. So candidates grow with
+the rows, whatever the size of a group of copies.
 
 Candidates whose signatures agree too little are left out; the others are confirmed on
 the full sets, best candidates first, then those that would still join two components.
-At last each crowded region is compared once more with its best-connected class, which
-in a group of edited copies is the one that they were made from.
+At last those classes of a crowded region that aren't yet joined with its best-connected
+class, which in a group of edited copies is near the text that they were made from, are
+compared with it and with some others that are connected nearly as well.
 """
 
 from __future__ import annotations
@@ -31,9 +32,11 @@ from .text import chunks, words_of
 SIGNATURE = 64
 TREES = 16
 PATH = 16
-LEVELS = (4, 8, 16)
-LEAF = 8
-NEIGHBOURS = 3
+LEVELS = (4, 6, 8, 11, 16)
+LEAF = 16
+NEIGHBOURS = LEAF - 1  # so that in a leaf all meet
+CENTRES = 4
+HUBS = 8
 #: Signature values, of 64, that must agree: 4.2 standard deviations below what 0.8 gives on average.
 LEAST_AGREEMENT = 38
 BROADCAST_ROWS = 500_000
@@ -173,11 +176,16 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     component = materialize(connected_components(links))
     # what would still join two components
     links, component = _joined(links, component, scored.select("a", "b"), sets, percent)
-    # the best-connected class of each crowded region
+    # the best-connected classes of each crowded region, for those that aren't joined with the best
     degree = ends.groupBy("x").agg(F.sum("agree").alias("degree")).withColumnRenamed("x", "cid")
-    central = crowded.join(degree, "cid", "left").groupBy("tree", "region").agg(F.max_by("cid", F.struct("degree", "cid")).alias("centre"))
-    again = crowded.join(central, ["tree", "region"]).where("cid <> centre").select(*_pairs("cid", "centre")).distinct()
-    again = _apart(again, component).join(scored, ["a", "b"], "left_anti")
+    members = crowded.join(degree, "cid", "left").join(component.withColumnRenamed("node", "cid"), "cid", "left")
+    members = materialize(members.select("tree", "region", "cid", F.coalesce("degree", F.lit(0)).alias("degree"), F.coalesce("component", "cid").alias("of")))
+    about = F.floor(F.lit(2) * F.log2(F.col("degree") + 1))
+    centres = F.array(*[F.max_by("cid", F.struct(about, F.xxhash64("cid", F.lit(k)))) for k in range(HUBS)])
+    central = members.groupBy("tree", "region").agg(F.max_by("of", F.struct("degree", "cid")).alias("main"), F.max_by("cid", F.struct("degree", "cid")).alias("best"), centres.alias("centres"))
+    outside = members.join(central, ["tree", "region"]).where("of <> main")
+    outside = outside.select("cid", F.explode(F.array_distinct(F.concat(F.array("best"), "centres"))).alias("centre")).where("cid <> centre")
+    again = _apart(outside.select(*_pairs("cid", "centre")).distinct(), component).join(scored, ["a", "b"], "left_anti")
     links, component = _joined(links, component, _scored(again, sig, percent).select("a", "b"), sets, percent)
 
     named = classes.select("n", "same", "rep", "cid").join(component.withColumnRenamed("node", "cid"), "cid", "left")
@@ -199,18 +207,15 @@ def _candidates(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
     pairs, crowds, leaves = [], [], []
     for depth in LEVELS:
         rest = rest.withColumn("region", F.substring("path", 1, 2 * depth))
-        mark = F.xxhash64("cid", "tree")
-        stats = rest.groupBy("tree", "region").agg(
-            F.count("*").alias("crowd"), F.min_by("cid", mark).alias("first"), F.max_by("cid", mark).alias("last")
-        )
+        centres = F.array(*[F.min_by("cid", F.xxhash64("cid", "tree", F.lit(k))) for k in range(CENTRES)])
+        stats = rest.groupBy("tree", "region").agg(F.count("*").alias("crowd"), centres.alias("centres"))
         rest = materialize(rest.join(stats.where("crowd > 1"), ["tree", "region"]))
-        for centre in ("first", "last"):
-            pairs.append(rest.where(F.col("cid") != F.col(centre)).select(*_pairs("cid", centre)))
         leaves.append(rest.where(F.col("crowd") <= LEAF).withColumn("salt", F.lit(0).cast("bigint")))
-        rest = rest.where(F.col("crowd") > LEAF)
-        crowds.append(rest.select("tree", "region", "cid"))
-        last = rest
-        rest = rest.drop("crowd", "first", "last", "region")
+        last = rest.where(F.col("crowd") > LEAF)
+        starred = last.select("cid", F.explode(F.array_distinct("centres")).alias("centre"))
+        pairs.append(starred.where("cid <> centre").select(*_pairs("cid", "centre")))
+        crowds.append(last.select("tree", "region", "cid"))
+        rest = last.drop("crowd", "centres", "region")
     # alike to the last value: parts of bounded size
     leaves.append(last.withColumn("salt", F.pmod(F.xxhash64("cid", F.lit(1)), F.ceil(F.col("crowd") / 256).cast("bigint"))))
     order = Window.partitionBy("tree", "region", "salt").orderBy("path", "cid")

@@ -199,6 +199,13 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     )
 
 
+def keep_representatives(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of ``docs`` that no near copy with a smaller key stands for, with its columns. Rows without a key stay."""
+    gone = near_duplicates(docs, key, text, width, percent).where("not kept").select(F.col(key).alias("__gone")).distinct()
+    gone = small_side(materialize(gone), BROADCAST_ROWS)
+    return docs.join(gone, F.col(key) == F.col("__gone"), "left_anti")
+
+
 def _candidates(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Distinct candidate pairs (``a``, ``b``), and the members (``tree``, ``region``, ``cid``) of crowded regions."""
     step = 2 * PATH

@@ -44,7 +44,8 @@ def targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float
     Sources by code point, null last, get the weights in turn and share ``share`` of
     all sizes; none is above ``most`` times its own size, and what is above is shared
     again by weight. Where the ceilings are met is found by one running sum over the
-    sources in the order of ceiling by weight. One row per source, so that the windows
+    sources in the order of ceiling by weight: the level that fits its source first is
+    the highest that fits any. One row per source, so that the windows
     over all of them are small.
     """
     by_name = Window.orderBy(F.col("source").asc_nulls_last())
@@ -60,7 +61,7 @@ def targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float
         (F.sum("source_size").over(everything) * F.lit(float(share)) - F.coalesce(F.sum("ceiling").over(rising), F.lit(0.0)))
         / F.sum("weight").over(rest),
     )
-    ranked = ranked.withColumn("water", F.min(F.when(F.col("reach") <= F.col("level"), F.col("reach"))).over(everything))
+    ranked = ranked.withColumn("water", F.max(F.when(F.col("reach") <= F.col("level"), F.col("reach"))).over(everything))
     capped = F.col("water").isNull() | (F.col("level") <= F.col("water"))
     return ranked.select(
         "source", "source_size", "docs", "rank",

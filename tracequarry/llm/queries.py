@@ -102,7 +102,7 @@ ORACLES: dict[str, str] = {
                     / sum(weight) OVER (ORDER BY ceiling / weight, rnk ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS reach
           FROM r
         ), g AS (
-          SELECT *, min(CASE WHEN reach <= ceiling / weight THEN reach END) OVER () AS water FROM l
+          SELECT *, max(CASE WHEN reach <= ceiling / weight THEN reach END) OVER () AS water FROM l
         ), t AS (
           SELECT source, source_size, CASE WHEN water IS NULL OR ceiling / weight <= water THEN ceiling ELSE water * weight END AS target FROM g
         ), p AS (

@@ -7,7 +7,7 @@ The estimate of a node depends on its counts alone, so the tree is built from co
 byte sequences, in any order: sequences that share their last two context bytes are one
 subtree, and what lies above is at most 256 x 256 nodes.
 
-Nothing of corpus size is broadcast. Texts are dealt into blocks of a bounded number
+Nothing of corpus size is broadcast, unless its rows have been counted to be few. Texts are dealt into blocks of a bounded number
 of bytes; each block sends its distinct words and byte sequences once, to be counted
 and valued by ordinary joins, and is scored with what comes back for it.
 """
@@ -26,8 +26,10 @@ from pyspark.sql import functions as F
 from .common import ASCII_LOWER, materialize
 from .text import chunks, whole_groups, words_of
 
-DEPTH = 6
-BLOCK_BYTES = 16_000_000
+DEPTH = 5
+BLOCK_BYTES = 64_000_000
+#: Up to so many distinct byte sequences, 16 bytes each, are sent to all tasks at once; beyond that blocks ask for theirs, as for words.
+BROADCAST_GRAMS = 2_000_000
 WORD, GRAM = 0, 1
 END = "\nend"  # no word holds white space
 END_BYTE = b"\xff"  # in no UTF-8 text
@@ -213,8 +215,16 @@ def score_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", folds:
     known = counts.where(F.col("kind") == WORD).agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.when(F.col("n") > 0, 1))).first()
     train_tokens, vocabulary = int(known[0]), int(known[1])
     values = counts.where(F.col("kind") == WORD).select("kind", "key", F.col("n").cast("double").alias("value"))
-    values = values.unionByName(gram_scores(counts.where(F.col("kind") == GRAM).select("key", "n"), depth).withColumn("kind", F.lit(GRAM)))
-    answers = seen.select("block", "kind", "key").join(values, ["kind", "key"])
+    grams_n = counts.where(F.col("kind") == GRAM).select("key", "n")
+    gram_values, few = gram_scores(grams_n, depth), None
+    if grams_n.count() <= BROADCAST_GRAMS:
+        table = gram_values.toPandas().sort_values("key")
+        few = docs.sparkSession.sparkContext.broadcast((table["key"].to_numpy(), table["value"].to_numpy()))
+        asked = seen.where(F.col("kind") == WORD)
+    else:
+        values = values.unionByName(gram_values.withColumn("kind", F.lit(GRAM)))
+        asked = seen
+    answers = asked.select("block", "kind", "key").join(values, ["kind", "key"])
     floor = math.log10(train_tokens + 0.1 * (vocabulary + 1))
 
     def score(own: pd.DataFrame, table: pd.DataFrame) -> pd.DataFrame:
@@ -223,6 +233,8 @@ def score_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", folds:
             part = table[table["kind"].to_numpy() == what]
             order = np.argsort(part["key"].to_numpy())
             look.append((part["key"].to_numpy()[order], part["value"].to_numpy()[order]))
+        if few is not None:
+            look[GRAM] = few.value
         out = []
         for lo, hi in chunks(own["text"]):
             part = own.iloc[lo:hi]

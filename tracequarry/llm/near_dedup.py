@@ -36,7 +36,7 @@ LEVELS = (4, 6, 8, 11, 16)
 LEAF = 16
 NEIGHBOURS = LEAF - 1  # so that in a leaf all meet
 CENTRES = 4
-HUBS = 8
+HUBS = 24
 #: Signature values, of 64, that must agree: 4.2 standard deviations below what 0.8 gives on average.
 LEAST_AGREEMENT = 38
 BROADCAST_ROWS = 500_000

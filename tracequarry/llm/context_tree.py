@@ -26,10 +26,10 @@ from pyspark.sql import functions as F
 from .common import ASCII_LOWER, materialize
 from .text import chunks, whole_groups, words_of
 
-DEPTH = 5
+DEPTH = 4
 BLOCK_BYTES = 64_000_000
-#: Up to so many distinct byte sequences, 16 bytes each, are sent to all tasks at once; beyond that blocks ask for theirs, as for words.
-BROADCAST_GRAMS = 2_000_000
+#: Up to so many distinct byte sequences, 1.6 MB, are sent to all tasks at once; beyond that blocks ask for theirs, as for words.
+BROADCAST_GRAMS = 100_000
 WORD, GRAM = 0, 1
 END = "\nend"  # no word holds white space
 END_BYTE = b"\xff"  # in no UTF-8 text

@@ -18,6 +18,7 @@ compared with it and with some others that are connected nearly as well.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -160,14 +161,11 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     classes = rows.where(usable).groupBy("n", "same").agg(F.min("id").alias("rep"), F.first("sig").alias("sig"), F.first("path").alias("path"))
     classes = materialize(classes.withColumn("cid", F.monotonically_increasing_id()))
 
-    candidates, crowded = _candidates(classes)
+    stars, leaves, crowded = _forest(classes)
     sig = classes.select("cid", "n", "sig")
-    scored = materialize(_scored(candidates, sig, percent))
-    involved = scored.select(F.col("a").alias("cid")).union(scored.select(F.col("b").alias("cid"))).union(crowded.select("cid")).distinct()
-    wanted = classes.join(involved, "cid", "left_semi").select("cid", F.col("rep").alias("id"), "same")
-    wanted = small_side(materialize(wanted), BROADCAST_ROWS)
-    sets = source.join(wanted, "id").select("cid", "same", "text").mapInPandas(_sets(width), "cid bigint, shingles array<bigint>")
-    sets = materialize(sets.groupBy("cid").agg(F.first("shingles").alias("shingles")))
+    scored = materialize(_scored(stars, sig, percent))
+    both_ends = lambda pairs: pairs.select(F.col("a").alias("cid")).union(pairs.select(F.col("b").alias("cid")))
+    sets = _shingles(source, classes, both_ends(scored).union(crowded.select("cid")), width)
 
     # each class with the candidate whose signature agrees best
     ends = scored.select("a", "b", "agree", F.col("a").alias("x")).union(scored.select("a", "b", "agree", F.col("b").alias("x")))
@@ -176,6 +174,10 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     component = materialize(connected_components(links))
     # what would still join two components
     links, component = _joined(links, component, scored.select("a", "b"), sets, percent)
+    # the members of each leaf that aren't joined yet
+    near = materialize(_scored(_leaf_pairs(leaves, component).join(scored, ["a", "b"], "left_anti"), sig, percent))
+    sets = sets.union(_shingles(source, classes, both_ends(near).join(sets, "cid", "left_anti"), width))
+    links, component = _joined(links, component, near.select("a", "b"), sets, percent)
     # the best-connected classes of each crowded region, for those that aren't joined with the best
     degree = ends.groupBy("x").agg(F.sum("agree").alias("degree")).withColumnRenamed("x", "cid")
     members = crowded.join(degree, "cid", "left").join(component.withColumnRenamed("node", "cid"), "cid", "left")
@@ -206,8 +208,19 @@ def keep_representatives(docs: DataFrame, key: str = "doc_id", text: str = "text
     return docs.join(gone, F.col(key) == F.col("__gone"), "left_anti")
 
 
-def _candidates(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Distinct candidate pairs (``a``, ``b``), and the members (``tree``, ``region``, ``cid``) of crowded regions."""
+def _shingles(source: DataFrame, classes: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
+    """(``cid``, ``shingles``) of the ``wanted`` classes, from the texts that stand for them."""
+    wanted = classes.join(wanted.distinct(), "cid", "left_semi").select("cid", F.col("rep").alias("id"), "same")
+    wanted = small_side(materialize(wanted), BROADCAST_ROWS)
+    sets = source.join(wanted, "id").select("cid", "same", "text").mapInPandas(_sets(width), "cid bigint, shingles array<bigint>")
+    return materialize(sets.groupBy("cid").agg(F.first("shingles").alias("shingles")))
+
+
+def _forest(classes: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Distinct pairs (``a``, ``b``) of classes and their regions' centres; the leaves' members (``tree``, ``region``, ``salt``, ``path``, ``cid``); the members (``tree``, ``region``, ``cid``) of crowded regions.
+
+    A leaf has one centre, a crowded region ``CENTRES``.
+    """
     step = 2 * PATH
     trees = F.explode(F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda t: F.struct(t.alias("tree"), F.substring(F.col("path"), t * step + 1, F.lit(step)).alias("path"))))
     rest = classes.select("cid", trees.alias("t")).select("cid", "t.tree", "t.path")
@@ -217,25 +230,25 @@ def _candidates(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
         centres = F.array(*[F.min_by("cid", F.xxhash64("cid", "tree", F.lit(k))) for k in range(CENTRES)])
         stats = rest.groupBy("tree", "region").agg(F.count("*").alias("crowd"), centres.alias("centres"))
         rest = materialize(rest.join(stats.where("crowd > 1"), ["tree", "region"]))
+        several = F.when(F.col("crowd") > LEAF, F.array_distinct("centres")).otherwise(F.slice("centres", 1, 1))
+        pairs.append(rest.select("cid", F.explode(several).alias("centre")).where("cid <> centre").select(*_pairs("cid", "centre")))
         leaves.append(rest.where(F.col("crowd") <= LEAF).withColumn("salt", F.lit(0).cast("bigint")))
         last = rest.where(F.col("crowd") > LEAF)
-        starred = last.select("cid", F.explode(F.array_distinct("centres")).alias("centre"))
-        pairs.append(starred.where("cid <> centre").select(*_pairs("cid", "centre")))
         crowds.append(last.select("tree", "region", "cid"))
         rest = last.drop("crowd", "centres", "region")
     # alike to the last value: parts of bounded size
     leaves.append(last.withColumn("salt", F.pmod(F.xxhash64("cid", F.lit(1)), F.ceil(F.col("crowd") / 256).cast("bigint"))))
+    whole = lambda parts: functools.reduce(DataFrame.union, parts)
+    return whole(pairs).distinct(), whole([x.select("tree", "region", "salt", "path", "cid") for x in leaves]), whole(crowds)
+
+
+def _leaf_pairs(leaves: DataFrame, component: DataFrame) -> DataFrame:
+    """Distinct pairs of classes near each other in a leaf's order that aren't in one component; in a leaf of up to ``LEAF`` classes all meet."""
+    placed = leaves.join(component.withColumnRenamed("node", "cid"), "cid", "left").withColumn("at", F.struct("cid", F.coalesce("component", "cid").alias("of")))
     order = Window.partitionBy("tree", "region", "salt").orderBy("path", "cid")
-    for leaf in leaves:
-        near = leaf.select("cid", F.array(*[F.lag("cid", k).over(order) for k in range(1, NEIGHBOURS + 1)]).alias("near"))
-        pairs.append(near.select("cid", F.explode("near").alias("other")).where("other is not null").select(*_pairs("cid", "other")))
-    out = pairs[0]
-    for p in pairs[1:]:
-        out = out.union(p)
-    members = crowds[0]
-    for c in crowds[1:]:
-        members = members.union(c)
-    return out.distinct(), members
+    near = placed.select("at", F.array(*[F.lag("at", k).over(order) for k in range(1, NEIGHBOURS + 1)]).alias("near"))
+    apart = F.filter("near", lambda o: o.isNotNull() & (o["of"] != F.col("at.of")))
+    return near.select("at.cid", F.explode(F.transform(apart, lambda o: o["cid"])).alias("other")).select(*_pairs("cid", "other")).distinct()
 
 
 def _scored(pairs: DataFrame, sig: DataFrame, percent: int) -> DataFrame:

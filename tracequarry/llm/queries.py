@@ -114,4 +114,17 @@ ORACLES: dict[str, str] = {
                CAST(whole * size + greatest(0, least(size, round(target - whole * source_size) - before)) AS BIGINT) AS taken
         FROM p
     """,
+    "op8_embedding_dedup": """
+        WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+        ok AS (
+          SELECT * FROM v WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(e) > 0
+          AND len(list_filter(e, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0
+        ), p AS (
+          SELECT a.vec_id AS a, b.vec_id AS b FROM ok a JOIN ok b ON a.label = b.label AND len(a.e) = len(b.e) AND a.vec_id <> b.vec_id
+          WHERE list_cosine_similarity(a.e, b.e) >= 0.93
+        ), r(n, m) AS (SELECT vec_id, vec_id FROM v UNION SELECT p.b, r.m FROM r JOIN p ON p.a = r.n WHERE r.m < p.b),
+        c AS (SELECT n, min(m) AS component_id FROM r GROUP BY n), l AS (SELECT a, count(*) AS k FROM p GROUP BY a)
+        SELECT vec_id, coalesce(k, 0) AS n_links, component_id, vec_id = component_id AS kept
+        FROM v JOIN c ON c.n = v.vec_id LEFT JOIN l ON l.a = v.vec_id
+    """,
 }

@@ -281,6 +281,23 @@ def test_context_tree(docs, texts, monkeypatch, few):
             assert r["score"] == pytest.approx(tree.score(raw), rel=1e-9)
 
 
+def test_context_tree_at_full_depth(spark, monkeypatch):
+    assert context_tree.DEPTH == 6
+    monkeypatch.setattr(context_tree, "BROADCAST_GRAMS", 0)
+    monkeypatch.setattr(context_tree, "BLOCK_BYTES", 1500)
+    rng = random.Random(12)
+    rows = [(2**60 + 2 * k + 1, sentence(rng, 6) + (" é漢" if k % 5 == 0 else "")) for k in range(300)] + [(None, "no key"), (7, None)]
+    got = context_tree.score_texts(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)).collect()
+    tree = PlainTree(6)
+    text = {k: (t or "").encode() + b"\xff" for k, t in rows}
+    for k, raw in text.items():
+        if zlib.crc32(("" if k is None else str(k)).encode()) % 10:
+            tree.learn(raw)
+    assert sorted((r["doc_id"] for r in got if r["doc_id"]), key=int) == sorted(k for k in text if k) and len(got) == len(rows)
+    for r in got:
+        assert r["score"] == pytest.approx(tree.score(text[r["doc_id"]]), rel=1e-9)
+
+
 class PlainTree:
     """Context-tree weighting as written down: recursive, one node per context and place."""
 

@@ -418,6 +418,19 @@ def test_html(spark):
     assert got[7]["text"] == got[8]["text"] == "" and got[9]["text"] == "Story 0 text that is long enough\nmore of it" and got[11]["text"] == "just text & more"
 
 
+def html_texts(spark, pages):
+    rows = [(k, "https://h.example/x", h) for k, h in enumerate(pages)]
+    got = html_templates.extract(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()
+    return {r["page_id"]: r["text"] for r in got}
+
+
+def test_html_of_several_layouts(spark):
+    sections = "sport news life money art travel".split()
+    pages = [f"<html><body><div class=intro>Welcome</div><article class={s}><p>{s} story {k}</p></article></body></html>" for k in range(5) for s in sections]
+    got = html_texts(spark, pages)
+    assert [got[k] for k in range(len(pages))] == [f"{s} story {k}" for k in range(5) for s in sections]
+
+
 def test_urls(spark):
     urls = [None, "", "no scheme/com/en/", "http://COM/en/", "https://a.example.com/en/7?x=1", "http://a.example.com/en/8", "http://xcom/en/", "x://net/de/1#f", "http://b.example.net/de/81", "http://org/es/", "http://org?/es/", "http://q.org/fr/1"]
     got = {r["page_id"]: r for r in url_filter.judge_urls(spark.createDataFrame(list(enumerate(urls)), "page_id int, url string")).collect()}

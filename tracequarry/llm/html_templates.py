@@ -72,6 +72,7 @@ class Page:
         self.stack: list[tuple[str, str, bool]] = []  # element, path, whether it isn't article text
         self.tokens: list[str] = []
         self.texts: list[tuple[str, str, bool, bool]] = []  # text, path, not text, starts a block
+        self.held: dict[str, int] = {}  # characters of article text in each open element, "" for all
         self.fresh = True
         at = 0
         while True:
@@ -96,6 +97,10 @@ class Page:
             path, off = (self.stack[-1][1], self.stack[-1][2]) if self.stack else ("", False)
             self.texts.append((text, path, off, self.fresh))
             self.fresh = False
+            size = 0 if off else len(text.strip())
+            if size:
+                for at in ("", *(x[1] for x in self.stack)):
+                    self.held[at] = self.held.get(at, 0) + size
 
     def _open(self, name: str, rest: str) -> None:
         if name == "br":
@@ -155,13 +160,14 @@ def tidy(path: str) -> str:
     return path
 
 
-def template_of(tokens: list[str], pages: list[int], prints: list, chars: list[int], all_pages: int) -> tuple[str, list[str]]:
+def template_of(tokens: list[str], pages: list[int], prints: list, times: list[int], chars: list[int], all_pages: int, all_chars: int) -> tuple[str, list[str]]:
     """(path of the article's element or "", tokens of valid classes) of one host.
 
     Tokens on the same pages as often are one class; it is valid if it has two tokens
     and is on enough pages. The article's element is the outermost ``article`` or
     ``main`` of the template, else the innermost element that holds half of the text
-    outside menus and the like.
+    outside menus and the like; ``chars`` has what each element holds on all pages, the
+    tokens left out included.
     """
     classes: dict[tuple, list[int]] = {}
     for k, token in enumerate(tokens):
@@ -173,10 +179,9 @@ def template_of(tokens: list[str], pages: list[int], prints: list, chars: list[i
         found = [t for t in opened if re.search(rf"/{name}(\.[^/]*)?\Z", t) and not _off(t)]
         if found:
             return min(found, key=lambda t: (t.count("/"), t)), template
-    text = {t: n for t, n in zip(tokens, chars) if not t.endswith("$")}
-    held = {t: sum(n for u, n in text.items() if (u == t or u.startswith(f"{t}/")) and not _off(u)) for t in opened if not _off(t)}
-    most = max(held.values(), default=0)
-    deep = [t for t, n in held.items() if n and 2 * n >= most]
+    held = {t: n for t, n in zip(tokens, chars) if n}
+    most = max((held.get(t, 0) for t in opened if not _off(t)), default=0)
+    deep = [t for t in opened if held.get(t) and 2 * held[t] >= most and not _off(t)]
     return (max(deep, key=lambda t: (t.count("/"), held[t], t)) if deep else ""), template
 
 
@@ -189,13 +194,17 @@ def _off(path: str) -> bool:
 
 
 def main_text(source: str | None, main: str = "", known: frozenset[str] = frozenset()) -> str:
-    """The text in ``main``'s slots, or outside menus and the like if the page has no such element; blocks joined by line feeds."""
+    """The text in ``main``'s slots, or outside menus and the like if the page has no such element; blocks joined by line feeds.
+
+    The page's own ``article`` or ``main`` goes before a ``main`` that is neither.
+    """
     if not isinstance(source, str) or not source:
         return ""
     page = Page(source, known)
     inside = [x for x in page.texts if main and (x[1] == main or x[1].startswith(f"{main}/"))]
-    if not inside:
-        inside = [x for x in page.texts if re.search(r"/(article|main)(\.|/|\Z)", x[1])] or page.texts
+    if not inside or not re.search(r"/(article|main)(\.|/|\Z)", main):
+        own = [x for x in page.texts if re.search(r"/(article|main)(\.|/|\Z)", x[1])]
+        inside = own if any(x[0].strip() and not x[2] for x in own) else inside or own or page.texts
     blocks: list[list[str]] = []
     start = True
     for text, _, off, fresh in page.texts if inside is page.texts else inside:
@@ -224,29 +233,31 @@ def templates(pages: DataFrame, key: str = "page_id", url: str = "url", source:
                 counts: dict[str, int] = {}
                 for t in page.tokens:
                     counts[t] = counts.get(t, 0) + 1
-                size: dict[str, int] = {}
-                for text, path, *_ in page.texts:
-                    size[path] = size.get(path, 0) + len(text.strip())
-                found.setdefault((host, ""), [0, 0, 0])[0] += 1
+                whole = found.setdefault((host, ""), [0, 0, 0, 0])
+                whole[0] += 1
+                whole[2] += page.held.get("", 0)
                 for t, n in counts.items():
-                    row = found.setdefault((host, t), [0, 0, 0])
+                    row = found.setdefault((host, t), [0, 0, 0, 0])
                     row[0] += 1
                     row[1] += mark * n
-                    row[2] += size.get(t, 0)
-            out = [(h, t, n, str(p), c) for (h, t), (n, p, c) in found.items()]
-            yield pd.DataFrame(out, columns=["host", "token", "pages", "print", "chars"])
+                    row[2] += page.held.get(t, 0)
+                    row[3] += n
+            out = [(h, t, n, str(p), c, k) for (h, t), (n, p, c, k) in found.items()]
+            yield pd.DataFrame(out, columns=["host", "token", "pages", "print", "chars", "times"])
 
     rows = pages.select(F.col(key).alias("id"), F.col(url).alias("url"), F.col(source).alias("html"))
-    seen = rows.mapInPandas(read, "host string, token string, pages bigint, print string, chars bigint")
+    seen = rows.mapInPandas(read, "host string, token string, pages bigint, print string, chars bigint, times bigint")
     seen = seen.groupBy("host", "token").agg(
-        F.sum("pages").alias("pages"), F.sum(F.col("print").cast("decimal(38,0)")).cast("string").alias("print"), F.sum("chars").alias("chars")
+        F.sum("pages").alias("pages"), F.sum(F.col("print").cast("decimal(38,0)")).cast("string").alias("print"), F.sum("chars").alias("chars"),
+        F.sum("times").alias("times"),
     )
     seen = materialize(seen)
-    whole = seen.where("token = ''").select("host", F.col("pages").alias("all_pages"))
+    whole = seen.where("token = ''").select("host", F.col("pages").alias("all_pages"), F.col("chars").alias("all_chars"))
     often = seen.where("token <> ''").join(whole, "host").where(F.col("pages") >= F.lit(SUPPORT) * F.col("all_pages"))
 
     def deduce(rows: pd.DataFrame) -> pd.DataFrame:
-        main, known = template_of(list(rows["token"]), list(rows["pages"]), list(rows["print"]), list(rows["chars"]), int(rows["all_pages"].iloc[0]))
+        own = (list(rows[c]) for c in ("token", "pages", "print", "times", "chars"))
+        main, known = template_of(*own, int(rows["all_pages"].iloc[0]), int(rows["all_chars"].iloc[0]))
         return pd.DataFrame({"host": [rows["host"].iloc[0]], "main": [main], "known": ["\n".join(known)]})
 
     return materialize(often.groupBy("host").applyInPandas(deduce, "host string, main string, known string"))

@@ -431,6 +431,14 @@ def test_html_of_several_layouts(spark):
     assert [got[k] for k in range(len(pages))] == [f"{s} story {k}" for k in range(5) for s in sections]
 
 
+def test_html_keeps_all_blocks_without_an_article(spark):
+    body = "<h2>Head {0}</h2><p>first paragraph of page {0}</p><p>second, longer paragraph of page {0}</p><ul><li>item {0}</li></ul><pre>code {0}</pre>"
+    pages = [f"<html><body><nav>menu</nav><div class=content>{body.format(k)}</div><div class=content>more {k}</div></body></html>" for k in range(8)]
+    got = html_texts(spark, pages)
+    for k in range(8):
+        assert got[k].split("\n") == [f"Head {k}", f"first paragraph of page {k}", f"second, longer paragraph of page {k}", f"item {k}", f"code {k}", f"more {k}"]
+
+
 def test_urls(spark):
     urls = [None, "", "no scheme/com/en/", "http://COM/en/", "https://a.example.com/en/7?x=1", "http://a.example.com/en/8", "http://xcom/en/", "x://net/de/1#f", "http://b.example.net/de/81", "http://org/es/", "http://org?/es/", "http://q.org/fr/1"]
     got = {r["page_id"]: r for r in url_filter.judge_urls(spark.createDataFrame(list(enumerate(urls)), "page_id int, url string")).collect()}

@@ -26,6 +26,7 @@ from .text import chunks
 
 SUPPORT = 0.2  # share of a host's pages that a class must be on
 MOST_BROADCAST = 50_000
+NEARLY_ALL = 0.9  # share of a host's text outside menus that its article's element must hold
 
 TOKEN = re.compile(
     r"<!--.*?(?:--!?>|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|"
@@ -165,9 +166,9 @@ def template_of(tokens: list[str], pages: list[int], prints: list, times: list[i
 
     Tokens on the same pages as often are one class; it is valid if it has two tokens
     and is on enough pages. The article's element is the outermost ``article`` or
-    ``main`` of the template, else the innermost element that holds half of the text
-    outside menus and the like; ``chars`` has what each element holds on all pages, the
-    tokens left out included.
+    ``main`` of the template, else the innermost element that no page repeats and that
+    holds nearly all text outside menus and the like; ``chars`` has what each element
+    holds on all pages, the tokens left out included.
     """
     classes: dict[tuple, list[int]] = {}
     for k, token in enumerate(tokens):
@@ -179,9 +180,9 @@ def template_of(tokens: list[str], pages: list[int], prints: list, times: list[i
         found = [t for t in opened if re.search(rf"/{name}(\.[^/]*)?\Z", t) and not _off(t)]
         if found:
             return min(found, key=lambda t: (t.count("/"), t)), template
-    held = {t: n for t, n in zip(tokens, chars) if n}
-    most = max((held.get(t, 0) for t in opened if not _off(t)), default=0)
-    deep = [t for t in opened if held.get(t) and 2 * held[t] >= most and not _off(t)]
+    once = {t for t, n, k in zip(tokens, pages, times) if n == k}
+    held = {t: n for t, n in zip(tokens, chars) if n and n >= NEARLY_ALL * all_chars}
+    deep = [t for t in opened if t in once and t in held and not _off(t)]
     return (max(deep, key=lambda t: (t.count("/"), held[t], t)) if deep else ""), template
 
 

@@ -188,6 +188,17 @@ def test_secrets(spark):
     assert got[1]["base_sha256"] == secrets.sha256_of(spans) and got[2]["base_sha256"] == hashlib.sha256(b"").hexdigest() and got[2]["spans"] == ""
 
 
+def test_secrets_beside_full_stops_short_and_without_digits():
+    model = secrets.train(secrets.labelled_samples())
+    keys = ["Zx8Qw7Lr2Vb9TkPm4Yc6Nd", "q7XbZ2kV9mTfR4wL", "QxZvKjWqPzXhGtVbNkRw"]
+    for key in keys:
+        for text in (f"the key {key}.", f"use {key} here", f"{key}.{key[::-1]}.x"):
+            at = text.index(key)
+            assert (at, at + len(key), "markov") in secrets.scan(text, model)
+    plain_text = "Verantwortungsgemeinschaft, internationalization.config and 2024-0615-1234-5678 or misunderstandings. " + "-" * 30 + " configuration.default_buffer_handler_size."
+    assert secrets.scan(plain_text, model) == []
+
+
 def near_truth(texts, width=2, share=0.8):
     sets = []
     for t in texts:

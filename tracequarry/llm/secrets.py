@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{16,}")  # runs are maximal, so the length can be part of the pattern
-CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=.-])[A-Za-z0-9+/_=-]{20,}(?![A-Za-z0-9+/_=.-])")
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")  # runs are maximal
 KINDS = ("assign", "access", "hex", "markov")
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 
@@ -37,6 +37,19 @@ kernel label layer layout left length level limit line link list load local lock
 menu message meta method model module mouse name network node number object offset option order output owner page
 panel parent parse path pattern payment pixel point policy position price process profile project property provider
 """.split()
+# fixed values: pieces of long words in prose
+PROSE = """
+ability able according action al ally ance and ation ative ed ence ential er est ever ful graph hand heit her hood hyper ible ically inter ing
+ion ish ism istic ity ive ization less like logical ly ment mis ness non ology one other ous over per phone port pre pro re scope self ship some
+sion some sub super tele ter that the thing tion trans tric un under ure ward ways where wise with work world
+ab an arbeit auf aus auch bau be ber berg bund chen der die dies ein einander end ent er erst fahrt frei gegen gehen gemein gesell ge haupt haus
+heim herr hoch ich isch jahr kampf keit kraft land lang leben lich machen mit nach nicht ober ordnung recht reich richt sam schaft schiff schrift
+schlag schul schutz selbst sich stadt stand stell trag um und ung unter ver vor wasser wechsel weg werk wirt wissen wort zeit zu zug zwischen
+aient aise anti aux avec ce comme con dans de des elle ement ence ent entre est eur euse eux ible ifier ique isation issement iste lement les leur
+mais ment nous par pas plus pour que quelle qui rait re sans ser sont sous sur te tion toire tout une vous
+ado ando ante ar arse cia ciones como con contra cuando de dad dades del desde el ella en encia ente entre era es esta hasta iendo idad illo ismo
+izar la las lo los mente miento mos muy no nos nte oso para pero por que quien res ser si sin sobre su tiva todo una ver y
+""".split()
 
 
 @dataclass(frozen=True)
@@ -55,13 +68,13 @@ class Markov:
 
 
 def labelled_samples(n: int = 2000, seed: int = 7) -> list[tuple[str, int]]:
-    """Labelled strings: 1 for random ones, 0 for identifiers, paths and numbered names."""
+    """Labelled strings: 1 for random ones, 0 for identifiers, paths, numbered names, long words and pieces of the alphabet."""
     rng = random.Random(seed)
     alphabets = (ALPHABET[:62], ALPHABET[:64], "0123456789abcdef", ALPHABET[:26] + "0123456789", ALPHABET[26:62])
-    out = [("".join(rng.choices(rng.choice(alphabets), k=rng.randint(20, 64))), 1) for _ in range(n)]
+    out = [("".join(rng.choices(rng.choice(alphabets), k=rng.randint(16, 64))), 1) for _ in range(n)]
     for _ in range(n):
         words = [rng.choice(WORDS) for _ in range(rng.randint(3, 7))]
-        style = rng.randrange(5)
+        style = rng.randrange(8)
         if style == 0:
             name = words[0] + "".join(w.title() for w in words[1:])
         elif style == 1:
@@ -70,8 +83,16 @@ def labelled_samples(n: int = 2000, seed: int = 7) -> list[tuple[str, int]]:
             name = "-".join(words)
         elif style == 3:
             name = "/".join(words)
-        else:
+        elif style == 4:
             name = "_".join(words).upper()
+        elif style == 5:
+            at, row = rng.randrange(10), rng.choice((ALPHABET[:26], ALPHABET[26:52]))
+            out.append((row[at : at + rng.randint(16, 26)], 0))
+            continue
+        else:
+            name = "".join(rng.choices(PROSE, k=rng.randint(4, 9)))
+            out.append((name.capitalize() if rng.random() < 0.2 else name, 0))
+            continue
         out.append((name + rng.choice(("", "", str(rng.randint(0, 9)), f"_{rng.randint(0, 2030)}", f"-v{rng.randint(1, 20)}")), 0))
     return out
 
@@ -105,7 +126,8 @@ def scan(text: str, model: Markov) -> list[tuple[int, int, str]]:
     """(start, end, kind) of every secret in ``text``, by start, then kind in the order of ``KINDS``.
 
     The pattern kinds may overlap each other; a span of the models is added only where
-    no pattern has found anything.
+    no pattern has found anything. The models see whole runs of at least 16 characters
+    of keys with a letter among them; a full stop parts runs.
     """
     spans = []
     if ":" in text or "=" in text:
@@ -116,8 +138,7 @@ def scan(text: str, model: Markov) -> list[tuple[int, int, str]]:
     base = sorted(spans)
     for m in CANDIDATE.finditer(text):
         found = m.group()
-        mixed = any(c.isdigit() for c in found) and any(c.isalpha() for c in found)
-        if mixed and not any(s < m.end() and e > m.start() for s, e, _ in base) and model.is_random(found):
+        if any(c.isalpha() for c in found) and not any(s < m.end() and e > m.start() for s, e, _ in base) and model.is_random(found):
             spans.append((m.start(), m.end(), "markov"))
     return sorted(spans, key=lambda s: (s[0], KINDS.index(s[2])))
 

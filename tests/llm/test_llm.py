@@ -450,6 +450,15 @@ def test_html_keeps_all_blocks_without_an_article(spark):
         assert got[k].split("\n") == [f"Head {k}", f"first paragraph of page {k}", f"second, longer paragraph of page {k}", f"item {k}", f"code {k}", f"more {k}"]
 
 
+def test_html_marks_around_the_article():
+    article = "<article><h1>Title</h1><p>whole text</p></article>"
+    for around in ("has-sidebar", "no-sidebar", "social-science", "search-results"):
+        assert html_templates.main_text(f"<html><body><div class='{around}'>{article}<div class=sidebar>links</div></div></body></html>") == "Title\nwhole text"
+    comments = "<div class=comments><article>first</article><article>second</article></div>"
+    assert html_templates.main_text(f"<html><body>{article}{comments}</body></html>") == "Title\nwhole text"
+    assert html_templates.main_text(f"<html><body><p>text</p><aside>{article}</aside></body></html>") == "text"
+
+
 def test_urls(spark):
     urls = [None, "", "no scheme/com/en/", "http://COM/en/", "https://a.example.com/en/7?x=1", "http://a.example.com/en/8", "http://xcom/en/", "x://net/de/1#f", "http://b.example.net/de/81", "http://org/es/", "http://org?/es/", "http://q.org/fr/1"]
     got = {r["page_id"]: r for r in url_filter.judge_urls(spark.createDataFrame(list(enumerate(urls)), "page_id int, url string")).collect()}

@@ -68,8 +68,10 @@ def marked(rest: str) -> tuple[str, bool]:
 class Page:
     """One pass over a page: tag tokens with paths, and text with the element it stands in."""
 
-    def __init__(self, source: str, known: frozenset[str] = frozenset()):
+    def __init__(self, source: str, known: frozenset[str] = frozenset(), sole: bool = False):
         self.known = known
+        self.sole = sole  # marks of what stands around an article don't count
+        self.articles = [0, 0]  # outermost articles and the like; those that only marks around them take away
         self.stack: list[tuple[str, str, bool]] = []  # element, path, whether it isn't article text
         self.tokens: list[str] = []
         self.texts: list[tuple[str, str, bool, bool]] = []  # text, path, not text, starts a block
@@ -133,6 +135,11 @@ class Page:
         if name not in VOID:
             above = bool(self.stack) and self.stack[-1][2]
             inside = any(x[0] in MAIN for x in self.stack)
+            if name in MAIN and not inside:
+                only_marked = above and not any(x[0] in NOT_TEXT for x in self.stack)
+                self.articles[0] += 1
+                self.articles[1] += only_marked
+                above = above and not (only_marked and self.sole)
             off = name in NOT_TEXT or (off and name not in MAIN and name not in ("html", "body")) or (name == "header" and not inside)
             self.stack.append((name, path, above or off))
 
@@ -151,6 +158,12 @@ class Page:
         del self.stack[k:]
 
 
+def read_page(source: str, known: frozenset[str] = frozenset()) -> Page:
+    """The page; if it has one article, marks of what stands around that don't count."""
+    page = Page(source, known)
+    return Page(source, known, sole=True) if page.articles == [1, 1] else page
+
+
 def host_of(url: str | None) -> str:
     m = re.search(r"://([^/?#]*)", url) if isinstance(url, str) else None
     return m[1].translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")) if m else ""
@@ -201,11 +214,11 @@ def main_text(source: str | None, main: str = "", known: frozenset[str] = frozen
     """
     if not isinstance(source, str) or not source:
         return ""
-    page = Page(source, known)
+    page = read_page(source, known)
     inside = [x for x in page.texts if main and (x[1] == main or x[1].startswith(f"{main}/"))]
     if not inside or not re.search(r"/(article|main)(\.|/|\Z)", main):
         own = [x for x in page.texts if re.search(r"/(article|main)(\.|/|\Z)", x[1])]
-        inside = own if any(x[0].strip() and not x[2] for x in own) else inside or own or page.texts
+        inside = own if any(x[0].strip() and not x[2] for x in own) else inside or page.texts
     blocks: list[list[str]] = []
     start = True
     for text, _, off, fresh in page.texts if inside is page.texts else inside:
@@ -229,7 +242,7 @@ def templates(pages: DataFrame, key: str = "page_id", url: str = "url", source:
             found: dict[tuple[str, str], list] = {}
             for k, u, h in zip(batch["id"], batch["url"], batch["html"]):
                 host = host_of(u)
-                page = Page(h if isinstance(h, str) else "")
+                page = read_page(h if isinstance(h, str) else "")
                 mark = xxhash.xxh3_64_intdigest(f"{k}|{u}") >> 24
                 counts: dict[str, int] = {}
                 for t in page.tokens:

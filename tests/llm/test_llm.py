@@ -481,6 +481,14 @@ def test_trees_learn_labelled_urls(spark):
     assert sum((r["verdict"] == "block") == bool(rows[r["page_id"]][1]) for r in got) >= 0.98 * len(rows)
 
 
+def test_trees_learn_from_distinct_urls(spark):
+    words = [(f"http://{'win-cash-' if k % 2 else ''}site{k}.{'bid' if k % 2 else 'org'}/p" + ("?a=1&b=2&c=3" if k % 2 else ""), k % 2) for k in range(40)]
+    labelled = spark.createDataFrame([x for x in words for _ in range(50)], "url string, y int")
+    pages = spark.createDataFrame([(k, u) for k, (u, _) in enumerate(words)], "page_id int, url string")
+    got = url_filter.judge_urls(pages, rules=(), labelled=labelled, most=40).collect()
+    assert all((r["verdict"] == "block") == bool(words[r["page_id"]][1]) for r in got)
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline
 

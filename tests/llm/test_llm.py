@@ -226,6 +226,29 @@ def test_near_dedup(docs, texts):
     assert near_dedup.keep_representatives(docs, width=5).columns == docs.columns
 
 
+def edited_copies(rng, copies, words=60, most=6):
+    base = [rng.choice(WORDS) + str(rng.randint(0, 99)) for _ in range(words)]
+    for _ in range(copies):
+        copy = list(base)
+        for _ in range(rng.randint(0, most)):
+            copy[rng.randrange(words)] = f"edit{rng.randint(0, 10**6)}"
+        yield " ".join(copy)
+
+
+@pytest.mark.parametrize("most", [2**28, 2**14])
+def test_near_dedup_of_many_edited_copies(spark, monkeypatch, most):
+    """Against all links: a crowd of copies at the threshold, finished in one forest and, with a low bound, in deeper ones."""
+    monkeypatch.setattr(near_dedup, "MOST_COMPARISONS", most)
+    monkeypatch.setattr(near_dedup, "CELL_ROWS", 100)
+    rng = random.Random(15)
+    texts = [*edited_copies(rng, 1000), *edited_copies(rng, 30), *[sentence(rng, 40) for _ in range(50)]]
+    _, root = near_truth(texts)
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(5)
+    got = {r["doc_id"]: r["component_id"] for r in near_dedup.near_duplicates(rows).collect()}
+    assert len(set(root)) > 60  # some copies link with none
+    assert sum(got[k] == root[k] for k in got) >= 0.99 * len(texts) and abs(len(set(got.values())) - len(set(root))) <= 0.01 * len(set(root))
+
+
 def test_components(spark):
     rng = random.Random(6)
     edges = [(k, k + 1) for k in range(60)] + [(100, 100 + k) for k in range(1, 40)] + [(rng.randrange(200, 300), rng.randrange(200, 300)) for _ in range(60)]

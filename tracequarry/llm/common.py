@@ -79,9 +79,10 @@ def connected_components(edges: DataFrame) -> DataFrame:
     """Connected components of the undirected ``edges`` (``a``, ``b``), as (``node``, ``component``).
 
     ``component`` is the smallest node reachable. Alternates large-star and small-star
-    steps until nothing changes; each step is a grouped minimum and a join, so that a
-    node with very many links is never gathered in one place. Nodes without links
-    aren't returned; nulls are no nodes.
+    steps until nothing changes; each step is a grouped minimum and a join. The minima are
+    written first, so that the join's sides are plain exchanges, of which Spark splits
+    those of a node with very many links. Nodes without links aren't returned; nulls are
+    no nodes. The result is written (``materialize``).
     """
     links = edges.where("a is not null and b is not null and a <> b").select(
         F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")
@@ -90,7 +91,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
     before = None
     while True:
         both = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
+        low = materialize(both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m")))
         # large star: every larger neighbour of a goes to a's smallest one
         large = both.join(low, "a").where("b > a and b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         large = large.distinct()
@@ -100,10 +101,12 @@ def connected_components(edges: DataFrame) -> DataFrame:
         small = small.union(least.select("a", F.col("m").alias("b")))
         after = materialize(small.distinct())
         release(links)
+        release(low)
         links = after
         now = links.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == before:
-            return links.select(F.col("a").alias("node"), F.col("b").alias("component")).union(
-                links.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
-            )
+            found = links.select(F.col("a").alias("node"), F.col("b").alias("component"))
+            found = materialize(found.union(found.select(F.col("component").alias("node"), "component").distinct()))
+            release(links)
+            return found
         before = now

@@ -150,6 +150,27 @@ def test_packing(docs, texts):
     assert sum(packing.padded(u) - u for u in used) < 1024
 
 
+def test_packing_does_not_depend_on_how_tables_are_read(spark, docs, texts):
+    packed = packing.pack(docs, TOKENIZER)
+    names = ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes", "spark.sql.files.minPartitionNum")
+    before = [spark.conf.get(n, None) for n in names]
+    try:
+        for n, v in zip(names, ("2000", "0", "40")):
+            spark.conf.set(n, v)
+        got = packed.collect()
+    finally:
+        for n, v in zip(names, before):
+            spark.conf.unset(n) if v is None else spark.conf.set(n, v)
+    sequences = {}
+    for r in got:
+        sequences.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    assert all(sorted(p)[k][0] == sum(n for _, n in sorted(p)[:k]) for p in sequences.values() for k in range(len(p)))
+    whole = Counter()
+    for r in got:
+        whole[r["doc_id"], r["doc_tokens"]] += r["length"]
+    assert all(n % size == 0 for (_, size), n in whole.items()) and {k for k, _ in whole} == {None, *range(len(texts))}
+
+
 def test_bin_patterns_use_every_piece():
     rng = random.Random(2)
     counts = Counter(rng.randint(1, 1024) for _ in range(3000))
@@ -168,6 +189,10 @@ def test_bin_patterns_use_every_piece():
 
 def test_tokenizers_agree(texts):
     fast, slow = packing._fast(TOKENIZER), packing._plain(TOKENIZER)
+    from tokenizers import Tokenizer
+
+    special = "a <|endoftext|> b<|endoftext|>"
+    assert list(fast(special)) == Tokenizer.from_file(TOKENIZER).encode(special, add_special_tokens=False).ids and 50256 in fast(special)
     for t in [*(t for t in texts if t), "naïve <|endoftext|> \u3000 日本語 \U0001f600 it's  12345", "\r\n\t x"]:
         assert list(fast(t)) == list(slow(t))
 

@@ -7,7 +7,9 @@ is repeated as often as its lengths allow. A window starts with the longest rema
 length; a bitset subset-sum over the other lengths and their counts finds the sums that
 fit beside it, and the best one is traced back to counts. The plan has a few rows for
 each length; every piece finds its place in it by its length and its rank among pieces
-of that length.
+of that length. The rank is its number within the task that cut it, written beside it,
+plus what earlier tasks have of that length: it doesn't depend on how the written table
+is read.
 """
 
 from __future__ import annotations
@@ -18,13 +20,13 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialize
 
 CAPACITY = 1024
-SALTS = 64
 
 _encoders: dict[str, Callable[[str], np.ndarray]] = {}
 
@@ -37,7 +39,7 @@ def byte_alphabet() -> dict[str, int]:
 
 
 def encoder(path: str) -> Callable[[str], np.ndarray]:
-    """Text to ids, special tokens as ordinary text, for a byte-level BPE file of ``tokenizers``.
+    """Text to the ids that ``tokenizers`` gives without special tokens added; special tokens written in a text have their own ids.
 
     The file's vocabulary is run by tiktoken, which gives the same ids several times as
     fast; by ``tokenizers`` itself if the file isn't of that kind or tiktoken is missing.
@@ -58,18 +60,20 @@ def _fast(path: str) -> Callable[[str], np.ndarray] | None:
     pre = spec.get("pre_tokenizer") or {}
     if spec["model"].get("type", "BPE") != "BPE" or pre.get("type") != "ByteLevel" or pre.get("add_prefix_space") or spec.get("normalizer"):
         return None
+    added = spec.get("added_tokens", [])
+    if any(t.get("lstrip") or t.get("rstrip") or t.get("single_word") for t in added):
+        return None
     alphabet = byte_alphabet()
-    special = {t["content"] for t in spec.get("added_tokens", [])}
+    special = {t["content"]: t["id"] for t in added}
     ranks = {bytes(alphabet[c] for c in token): k for token, k in spec["model"]["vocab"].items() if token not in special}
-    own = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-    return lambda text: own.encode_to_numpy(text, disallowed_special=())
+    own = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=special)
+    return lambda text: own.encode_to_numpy(text, allowed_special="all")
 
 
 def _plain(path: str) -> Callable[[str], np.ndarray]:
     from tokenizers import Tokenizer
 
     own = Tokenizer.from_file(path)
-    own.encode_special_tokens = True
     return lambda text: np.array(own.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
 
 
@@ -150,25 +154,31 @@ def padded(used: int, capacity: int = CAPACITY) -> int:
 
 
 def pieces(docs: DataFrame, key: str, text: str, tokenizer: str, separator: int, capacity: int, with_ids: bool) -> DataFrame:
-    """(``id``, ``start``, ``length``, ``ids_crc32``, ``doc_tokens``[, ``ids``]) of every piece."""
+    """(``id``, ``start``, ``length``, ``ids_crc32``, ``doc_tokens``, ``part``, ``nth``[, ``ids``]) of every piece.
+
+    ``part`` is the task that cut it, ``nth`` how many pieces of its length that task cut before it.
+    """
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encode = encoder(tokenizer)
+        part, seen = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
         for batch in batches:
             out = []
             for k, t in enumerate(batch["text"]):
                 ids = np.append(encode(t) if isinstance(t, str) and t else np.empty(0, "<u4"), separator).astype("<u4")
                 raw = memoryview(ids.tobytes())
                 for start in range(0, len(ids), capacity):
-                    part = raw[4 * start : 4 * (start + capacity)]
-                    out.append((k, start, len(part) // 4, zlib.crc32(part), len(ids), *([ids[start : start + capacity].astype(np.int32)] if with_ids else [])))
-            names = ["k", "start", "length", "ids_crc32", "doc_tokens", *["ids"] * with_ids]
+                    piece = raw[4 * start : 4 * (start + capacity)]
+                    length = len(piece) // 4
+                    out.append((k, start, length, zlib.crc32(piece), len(ids), part, seen[length], *([ids[start : start + capacity].astype(np.int32)] if with_ids else [])))
+                    seen[length] += 1
+            names = ["k", "start", "length", "ids_crc32", "doc_tokens", "part", "nth", *["ids"] * with_ids]
             frame = pd.DataFrame(out, columns=names)
             frame.insert(0, "id", batch["id"].to_numpy(object)[frame["k"].to_numpy(np.int64)])
             yield frame.drop(columns="k")
 
-    schema = f"id {kind}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint" + ", ids array<int>" * with_ids
+    schema = f"id {kind}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, part int, nth bigint" + ", ids array<int>" * with_ids
     return docs.select(F.col(key).alias("id"), F.col(text).alias("text")).mapInPandas(run, schema)
 
 
@@ -178,25 +188,37 @@ def pack(
     """One row per piece: ``key``, ``start``, ``length``, ``ids_crc32``, ``doc_tokens``, ``sequence_id``, ``offset``, and ``ids`` if asked for.
 
     Each document is its ids and then ``separator``; null and empty texts are the
-    separator alone. Every id lies in one piece, and pieces lie in their sequence
-    without gaps from offset 0. Repeated rows are packed once each; an empty table
-    gives no rows; other columns aren't looked at.
+    separator alone; very long ones are cut into as many pieces as they need. Every id
+    lies in one piece, and pieces lie in their sequence without gaps from offset 0.
+    Which of equally long pieces goes where follows from the order in which they are
+    read. Repeated rows and null keys are packed once each; an empty table gives no
+    rows; other columns aren't looked at.
     """
     rows = materialize(pieces(docs, key, text, tokenizer, separator, capacity, with_ids))
-    rows = rows.withColumn("row", F.monotonically_increasing_id())
-    rows = rows.withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(SALTS)))
-    counts = rows.groupBy("length", "salt").agg(F.count("*").alias("n"))
-    counts = materialize(counts)  # at most SALTS rows for each length
+    counts = materialize(rows.groupBy("length", "part").agg(F.count("*").alias("n")))
     histogram: dict[int, int] = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most `capacity` rows
-    plan = docs.sparkSession.createDataFrame(plan_rows(histogram, capacity), "length bigint, lo bigint, hi bigint, each bigint, first bigint, place bigint")
-    before = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("length", "salt", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    ranked = rows.withColumn("rank", F.row_number().over(Window.partitionBy("length", "salt").orderBy("row")) - 1)
-    ranked = ranked.join(F.broadcast(offsets), ["length", "salt"]).withColumn("rank", F.col("rank") + F.col("base"))
-    placed = ranked.join(F.broadcast(plan), "length").where("rank >= lo and rank < hi")
-    at = F.col("rank") - F.col("lo")
-    return placed.select(
-        F.col("id").alias(key), "start", "length", "ids_crc32", "doc_tokens",
-        (F.col("first") + F.floor(at / F.col("each"))).alias("sequence_id"),
-        (F.col("place") + F.pmod(at, F.col("each")) * F.col("length")).alias("offset"), *["ids"] * with_ids,
-    )
+    plan: dict[int, list[tuple]] = {}
+    for length, lo, _, each, first, place in plan_rows(histogram, capacity):
+        plan.setdefault(length, []).append((lo, each, first, place))
+    tables = {length: np.array(own, np.int64).T for length, own in plan.items()}  # by rising lo
+    before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    base = counts.select("length", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    ranked = rows.join(base, ["length", "part"]).withColumn("rank", F.col("nth") + F.col("base")).drop("part", "nth", "base")
+
+    def placed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            length, rank = batch["length"].to_numpy(), batch["rank"].to_numpy()
+            sequence, offset = np.zeros(len(batch), np.int64), np.zeros(len(batch), np.int64)
+            for own in np.unique(length):
+                at = np.flatnonzero(length == own)
+                lo, each, first, place = tables[int(own)]
+                k = np.searchsorted(lo, rank[at], "right") - 1
+                sequence[at] = first[k] + (rank[at] - lo[k]) // each[k]
+                offset[at] = place[k] + (rank[at] - lo[k]) % each[k] * own
+            yield batch.assign(sequence_id=sequence, offset=offset)[names]
+
+    kinds = dict(ranked.dtypes) | {"sequence_id": "bigint", "offset": "bigint"}
+    names = ["id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", *["ids"] * with_ids]
+    out = ranked.withColumn("id", F.array_compact(F.array("id")))  # pandas turns whole numbers among nulls into doubles
+    schema = ", ".join(f"{c} {'array<' + kinds[c] + '>' if c == 'id' else kinds[c]}" for c in names)
+    return out.mapInPandas(placed, schema).withColumn("id", F.get("id", F.lit(0))).withColumnRenamed("id", key)

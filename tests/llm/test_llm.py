@@ -498,6 +498,54 @@ def test_html_keeps_all_blocks_without_an_article(spark):
         assert got[k].split("\n") == [f"Head {k}", f"first paragraph of page {k}", f"second, longer paragraph of page {k}", f"item {k}", f"code {k}", f"more {k}"]
 
 
+def test_html_template_decides_what_is_fixed(spark, monkeypatch):
+    """Unlisted boilerplate, in hosts with and without an article: fixed text goes, varying text stays; without the template it would all stay."""
+    strip = "<div class=topbar><b>The Daily Example</b> since 1900</div>"
+    pages, want = [], []
+    for k in range(12):
+        body = f"text {k} that goes on, " * 8 + "to its end"
+        offer = "<div class=offer>Only this week</div>" if k % 2 else ""  # a class of its own
+        if k < 6:
+            pages.append(f"<html><body>{strip}<div class=story><h2>Head {k}</h2><p>{body}</p>{offer}</div><div class=base>All rights reserved</div></body></html>")
+            want.append(f"Head {k}\n{body}")
+        else:
+            pages.append(f"<html><body>{strip}<div class=story><h2>Head {k}</h2><p>{body}</p><p>the common line</p>{offer}</div><div class=base>All rights reserved</div></body></html>")
+            want.append(f"Head {k}\n{body}\nthe common line")
+    got = html_texts(spark, pages)
+    assert [got[k] for k in range(12)] == want
+    plain_ones = [html_templates.main_text(h) for h in pages]
+    assert sum(a != b for a, b in zip(plain_ones, want)) == 12
+    inside = [f"<html><body><article><h1>T {k}</h1><div class=byline>By our staff</div><p>text {k} of some length, to be kept</p></article></body></html>" for k in range(8)]
+    got = html_texts(spark, inside)
+    assert [got[k] for k in range(8)] == [f"T {k}\ntext {k} of some length, to be kept" for k in range(8)]
+    copies = [f"<html><body><div class=story><p>the same long article on every page of the host</p><p>{k}</p></div></body></html>" for k in range(8)]
+    got = html_texts(spark, copies)
+    assert [got[k] for k in range(8)] == [f"the same long article on every page of the host\n{k}" for k in range(8)]
+
+
+def test_html_classes_against_occurrence_vectors(spark):
+    """The grouped sums find the classes that whole occurrence vectors give."""
+    rng = random.Random(21)
+    parts = ["<div class=a>x</div>", "<div class=b>y<i>z</i></div>", "<ul><li>1</li></ul>", "<p class=c>w</p>"]
+    pages = ["<html><body>" + "".join(p * rng.randint(0, 2) for p in parts) + f"<p>own {k}</p></body></html>" for k in range(10)]
+    vectors = {}
+    for k, h in enumerate(pages):
+        page = html_templates.read_page(h)
+        for t in [*page.tokens, *[html_templates.text_token(path, t) for t, path, _, _ in page.texts]]:
+            vectors.setdefault(t, Counter())[k] += 1
+    classes = {}
+    for t, v in vectors.items():
+        classes.setdefault(tuple(sorted(v.items())), []).append(t)
+    tags, fixed = set(), set()
+    for v, ts in classes.items():
+        if len(ts) > 1 and len(v) >= 2:
+            tags |= {t for t in ts if t[0] != "#"}
+            fixed |= {t for t in ts if t[0] == "#"} if len(v) >= 5 and any(t[0] != "#" for t in ts) else set()
+    rows = [(k, "https://h.example/x", h) for k, h in enumerate(pages)]
+    known = html_templates.templates(spark.createDataFrame(rows, "page_id bigint, url string, html string")).first()["known"].split("\n")
+    assert {t for t in known if t[0] != "#"} == tags and {t for t in known if t[0] == "#"} in (fixed, set())
+
+
 def test_html_marks_around_the_article():
     article = "<article><h1>Title</h1><p>whole text</p></article>"
     for around in ("has-sidebar", "no-sidebar", "social-science", "search-results"):

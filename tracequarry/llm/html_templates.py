@@ -1,12 +1,14 @@
 """HTML extraction by templates deduced from equivalence classes of tokens.
 
-A page is read as a sequence of tag tokens, each told apart by the elements around it.
-For each host, tokens with the same occurrence vector over the host's pages form an
-equivalence class; a vector is known by its sum of page hashes times counts, so that
-classes are found by one grouped sum whatever the number of pages. Classes of two and
-more tokens on enough pages are valid; they nest by their paths into the host's
-template. The template says which element holds the article, and where a page that
-leaves elements open goes on. What remains in the article's slots is the text.
+A page is read as a sequence of tokens, tags and pieces of text, each told apart by the
+elements around it. For each host, tokens with the same occurrence vector over the host's
+pages form an equivalence class; a vector is known by its sum of page hashes times counts,
+so that classes are found by one grouped sum whatever the number of pages. Classes of two
+and more tokens on enough pages are valid; they nest by their paths into the host's
+template. The template says which element holds the article, where a page that leaves
+elements open goes on, and which text is fixed: that of a class with tags in it. What
+remains in the article's slots is the text. Names of elements and words of their classes
+say besides which slots are menus, adverts and the like, whose text differs by page.
 """
 
 from __future__ import annotations
@@ -21,11 +23,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, small_side
+from .common import materialize
 from .text import chunks
 
 SUPPORT = 0.2  # share of a host's pages that a class must be on
-MOST_BROADCAST = 50_000
+BROADCAST_BYTES = 32_000_000
+MOST_HELD = 200_000  # tokens that a task counts before it hands them on
+FEWEST_PAGES = 5  # on which text recurs before it counts as fixed
+COPIES = 0.5  # where fixed text is more than this share of a host's, its pages are copies and nothing is fixed
 NEARLY_ALL = 0.9  # share of a host's text outside menus that its article's element must hold
 
 TOKEN = re.compile(
@@ -169,16 +174,18 @@ def host_of(url: str | None) -> str:
     return m[1].translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")) if m else ""
 
 
-def tidy(path: str) -> str:
-    """A path without elements that only mark up text: the token's role."""
-    return path
+def text_token(path: str, text: str) -> str:
+    """The token of a piece of text in the element ``path``; empty for white space."""
+    own = " ".join(text.split())
+    return f"#{xxhash.xxh3_64_hexdigest(f'{path}#{own}')}" if own else ""
 
 
 def template_of(tokens: list[str], pages: list[int], prints: list, times: list[int], chars: list[int], all_pages: int, all_chars: int) -> tuple[str, list[str]]:
     """(path of the article's element or "", tokens of valid classes) of one host.
 
     Tokens on the same pages as often are one class; it is valid if it has two tokens
-    and is on enough pages. The article's element is the outermost ``article`` or
+    and is on enough pages. Of text tokens only the fixed ones are returned: those of a
+    class with a tag, on ``FEWEST_PAGES`` at least. The article's element is the outermost ``article`` or
     ``main`` of the template, else the innermost element that no page repeats and that
     holds nearly all text outside menus and the like; ``chars`` has what each element
     holds on all pages, the tokens left out included.
@@ -187,8 +194,12 @@ def template_of(tokens: list[str], pages: list[int], prints: list, times: list[i
     for k, token in enumerate(tokens):
         classes.setdefault((pages[k], prints[k]), []).append(k)
     valid = {k for (n, _), ks in classes.items() if len(ks) > 1 and n >= max(1, SUPPORT * all_pages) for k in ks}
-    template = sorted(tokens[k] for k in valid)
-    opened = [t for t in template if not t.endswith("$")]
+    tagged = {key for key, ks in classes.items() if any(tokens[k][0] != "#" for k in ks)}
+    fixed = [k for k in valid if tokens[k][0] == "#" and pages[k] >= FEWEST_PAGES and (pages[k], prints[k]) in tagged]
+    if sum(chars[k] for k in fixed) > COPIES * all_chars:
+        fixed = []
+    template = sorted([tokens[k] for k in valid if tokens[k][0] != "#"] + [tokens[k] for k in fixed])
+    opened = [t for t in template if not t.endswith("$") and t[0] != "#"]
     for name in MAIN:
         found = [t for t in opened if re.search(rf"/{name}(\.[^/]*)?\Z", t) and not _off(t)]
         if found:
@@ -210,23 +221,29 @@ def _off(path: str) -> bool:
 def main_text(source: str | None, main: str = "", known: frozenset[str] = frozenset()) -> str:
     """The text in ``main``'s slots, or outside menus and the like if the page has no such element; blocks joined by line feeds.
 
-    The page's own ``article`` or ``main`` goes before a ``main`` that is neither.
+    The page's own ``article`` or ``main`` goes before a ``main`` that is neither. Text
+    tokens among ``known`` are fixed text, which is left out unless there is no other.
     """
     if not isinstance(source, str) or not source:
         return ""
+    fixed = {t for t in known if t[0] == "#"}
     page = read_page(source, known)
     inside = [x for x in page.texts if main and (x[1] == main or x[1].startswith(f"{main}/"))]
     if not inside or not re.search(r"/(article|main)(\.|/|\Z)", main):
         own = [x for x in page.texts if re.search(r"/(article|main)(\.|/|\Z)", x[1])]
         inside = own if any(x[0].strip() and not x[2] for x in own) else inside or page.texts
+    slots = [(x, x[2]) for x in inside]
+    if fixed:
+        varying = [(x, off or text_token(x[1], x[0]) in fixed) for x, off in slots]
+        if any(x[0].strip() and not off for x, off in varying):
+            slots = varying
     blocks: list[list[str]] = []
     start = True
-    for text, _, off, fresh in page.texts if inside is page.texts else inside:
-        start = start or fresh
+    for (text, _, _, fresh), off in slots:
+        start = start or fresh or off
         if off:
-            start = True
             continue
-        if start or not blocks:
+        if start:
             blocks.append([])
             start = False
         blocks[-1].append(text)
@@ -241,6 +258,9 @@ def templates(pages: DataFrame, key: str = "page_id", url: str = "url", source:
         for batch in batches:
             found: dict[tuple[str, str], list] = {}
             for k, u, h in zip(batch["id"], batch["url"], batch["html"]):
+                if len(found) > MOST_HELD:
+                    yield told(found)
+                    found = {}
                 host = host_of(u)
                 page = read_page(h if isinstance(h, str) else "")
                 mark = xxhash.xxh3_64_intdigest(f"{k}|{u}") >> 24
@@ -250,14 +270,22 @@ def templates(pages: DataFrame, key: str = "page_id", url: str = "url", source:
                 whole = found.setdefault((host, ""), [0, 0, 0, 0])
                 whole[0] += 1
                 whole[2] += page.held.get("", 0)
+                held = dict(page.held)
+                for t, path, off, _ in page.texts:
+                    if token := text_token(path, t):
+                        counts[token] = counts.get(token, 0) + 1
+                        held[token] = held.get(token, 0) + (0 if off else len(t.strip()))
                 for t, n in counts.items():
                     row = found.setdefault((host, t), [0, 0, 0, 0])
                     row[0] += 1
                     row[1] += mark * n
-                    row[2] += page.held.get(t, 0)
+                    row[2] += held.get(t, 0)
                     row[3] += n
-            out = [(h, t, n, str(p), c, k) for (h, t), (n, p, c, k) in found.items()]
-            yield pd.DataFrame(out, columns=["host", "token", "pages", "print", "chars", "times"])
+            yield told(found)
+
+    def told(found: dict[tuple[str, str], list]) -> pd.DataFrame:
+        out = [(h, t, n, str(p), c, k) for (h, t), (n, p, c, k) in found.items()]
+        return pd.DataFrame(out, columns=["host", "token", "pages", "print", "chars", "times"])
 
     rows = pages.select(F.col(key).alias("id"), F.col(url).alias("url"), F.col(source).alias("html"))
     seen = rows.mapInPandas(read, "host string, token string, pages bigint, print string, chars bigint, times bigint")
@@ -265,7 +293,7 @@ def templates(pages: DataFrame, key: str = "page_id", url: str = "url", source:
         F.sum("pages").alias("pages"), F.sum(F.col("print").cast("decimal(38,0)")).cast("string").alias("print"), F.sum("chars").alias("chars"),
         F.sum("times").alias("times"),
     )
-    seen = materialize(seen)
+    seen = materialize(seen.where(f"token = '' or pages >= {FEWEST_PAGES} or not startswith(token, '#')"))
     whole = seen.where("token = ''").select("host", F.col("pages").alias("all_pages"), F.col("chars").alias("all_chars"))
     often = seen.where("token <> ''").join(whole, "host").where(F.col("pages") >= F.lit(SUPPORT) * F.col("all_pages"))
 
@@ -280,13 +308,16 @@ def templates(pages: DataFrame, key: str = "page_id", url: str = "url", source:
 def extract(pages: DataFrame, key: str = "page_id", url: str = "url", source: str = "html") -> DataFrame:
     """One row per page: ``key``, ``url``, ``text``, ``n_chars``.
 
-    Null and empty pages have an empty text. Pages whose url is null or has no host
-    share one template. Pages of a host that has a single page are read by that page's
-    own template. Repeated rows give repeated results, an empty table none; other
-    columns aren't looked at.
+    Null and empty pages have an empty text; very long ones are read whole. Pages whose
+    url is null or has no host share one template. Pages of a host that has a single
+    page are read by that page's own template. Repeated rows count as pages of their own
+    and give repeated results, an empty table none; other columns aren't looked at,
+    whatever their names.
     """
     kinds = {c: pages.schema[c].dataType.simpleString() for c in (key, url)}
-    found = small_side(templates(pages, key, url, source), MOST_BROADCAST)
+    found = templates(pages, key, url, source)
+    if (found.agg(F.sum(F.octet_length("known") + F.octet_length("host") + 100)).first()[0] or 0) <= BROADCAST_BYTES:
+        found = F.broadcast(found)
     host = F.translate(F.regexp_extract(F.coalesce(F.col(url), F.lit("")), r"^(?:(?!://)[\s\S])*://([^/?#]*)", 1), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     rows = pages.select(F.col(key).alias("id"), F.col(url).alias("url"), F.col(source).alias("html"), host.alias("host"))
     rows = rows.join(found, "host", "left").drop("host")

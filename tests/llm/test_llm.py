@@ -119,11 +119,23 @@ def test_mixing(docs, texts):
         assert target[s] == pytest.approx(want[s]) and abs(taken[s] - want[s]) <= 1
     again = {(r["doc_id"], r["size"]): r["taken"] for r in mixing.mix(docs.repartition(5)).collect()}
     assert again == {(r["doc_id"], r["size"]): r["taken"] for r in got}
-    mixed = mixing.mixed_documents(docs.where("doc_id <> 20"))
+    mixed = mixing.mixed_documents(docs)
     assert mixed.columns == docs.columns
-    words = mixed.groupBy("source").agg(F.sum(mixing.word_count(F.col("text"))).alias("n"))
-    alone = {r["source"]: r["t"] for r in mixing.mix(docs.where("doc_id <> 20")).groupBy("source").agg(F.sum("taken").alias("t")).collect()}
-    assert {r["source"]: r["n"] for r in words.collect()} == {s: t for s, t in alone.items() if t}
+    copies, words = Counter(), Counter()
+    for r in mixed.collect():
+        assert r["text"] == ("no key" if r["doc_id"] is None else texts[r["doc_id"]])
+        copies[r["doc_id"]] += 1
+        words[r["source"]] += len(word_list(r["text"]))
+    assert all(copies[k] == 1 for k, t in enumerate(texts) if not word_list(t))
+    for s in sizes:
+        assert abs(words[s] - taken[s]) <= max(r["size"] for r in got if r["source"] == s) * (2 if s == "s2" else 0.5)  # row 20, which is there twice, is in s2
+
+
+def test_mixed_documents_of_repeated_rows(spark):
+    rows = [(1, "a b c d e f", "x")] * 2 + [(2, "g h", "x"), (3, "", "x"), (None, None, None), (4, "one two three", None)]
+    mixed = mixing.mixed_documents(spark.createDataFrame(rows, "doc_id bigint, text string, source string")).collect()
+    copies = Counter(r["doc_id"] for r in mixed)
+    assert copies[3] == copies[None] == 1 and copies[1] in (2, 4) and 1 <= copies[2] <= 2 and copies[4] == 2
 
 
 def test_packing(docs, texts):
@@ -454,6 +466,18 @@ def test_toxicity(spark):
     assert right >= 0.97 * len(held)
     by_id = {r["doc_id"]: r for r in got}
     assert by_id[902]["predicted"] == 1 and by_id[900]["predicted"] == 0 and by_id[901]["score"] == by_id[900]["score"]
+    # the score from all maximal segments by the plain search
+    known = spark.createDataFrame(labels, "doc_id bigint, toxic int")
+    model = toxicity.train(docs, known)
+    for k, t in rows[:40]:
+        scores = [model.token_score(w) or toxicity.LOSS for w in toxicity.words(t)]
+        expected = [model.scale * len(scores) * math.exp(-model.rate * x) for *_, x in plain_segments(scores)]
+        x = toxicity.features(min(expected, default=None), sum(e < toxicity.SIGNIFICANT for e in expected))
+        z = model.weights[0] + model.weights[1] * x[0] + model.weights[2] * x[1]
+        assert by_id[k]["score"] == pytest.approx(1 / (1 + math.exp(-z)), rel=1e-6)
+    clashing = docs.selectExpr("doc_id", "text", "1 as score", "'x' as predicted", "2 as passages", "9007199254740993 as big", "cast(null as bigint) as none")
+    kept = toxicity.score_toxicity(clashing, model, prefix="__toxic_").limit(3).collect()
+    assert all((r["score"], r["predicted"], r["passages"], r["big"], r["none"]) == (1, "x", 2, 9007199254740993, None) for r in kept)
     none = toxicity.toxicity(docs, spark.createDataFrame([], "doc_id bigint, toxic int"))
     assert none.agg(F.max("predicted")).first()[0] == 0
 
@@ -601,7 +625,63 @@ def test_pipeline_stages(spark):
             assert len({(r["text"] or "").translate(ASCII_LOWER) for r in rows}) == len(rows)
         if name == "near_dedup":
             assert len(set(near_truth([r["text"] for r in rows], 5)[1])) >= 0.99 * len(rows)
-    mixed = spark.createDataFrame(corpus_pipeline.mix_sources(spark, docs, SMALL).collect(), docs.schema)
-    assert max(r["count"] for r in mixed.groupBy("doc_id").count().collect()) <= 2
-    packed = corpus_pipeline.pack_sequences(spark, mixed, SMALL)
-    assert packed.agg(F.sum("length")).first()[0] == packed.where("start = 0").agg(F.sum("doc_tokens")).first()[0]
+    packed = corpus_pipeline.run(spark, SMALL).collect()
+    whole = Counter()
+    for r in packed:
+        whole[r["doc_id"], r["doc_tokens"]] += r["length"]
+    copies = {k: n / size for (k, size), n in whole.items()}
+    assert set(copies) <= kept and all(n in (1, 2) for n in copies.values())
+    assert {r["doc_id"] for r in docs.collect() if not word_list(r["text"])} <= set(copies)
+
+
+def test_pipeline_stages_of_odd_rows(spark, docs, empty, tmp_path):
+    import corpus_pipeline
+
+    spark.read.parquet(f"{SMALL}/labels.parquet").write.parquet(f"{tmp_path}/labels.parquet")
+    for rows in (docs, empty):
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            got = stage(spark, rows, str(tmp_path))
+            assert got.columns == rows.columns and (got.count() > 0) == (rows is docs)
+    assert corpus_pipeline.pack_sequences(spark, empty, str(tmp_path)).count() == 0
+
+
+def test_base_spans_by_plain_search(spark):
+    """All documents of the smallest table, by matching at each place of the text."""
+    rows = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text").collect()
+    got = {r["doc_id"]: r for r in secrets.secret_digests(spark.read.parquet(f"{SMALL}/documents.parquet")).collect()}
+    kinds = (("assign", r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 12), ("access", r"(AKIA[A-Z0-9]+)", 18), ("hex", r"([0-9a-f]+)", 16))
+    for doc_id, text in rows:
+        spans = []
+        for order, (kind, pattern, least) in enumerate(kinds):
+            at, match = 0, re.compile(pattern).match
+            while at < len(text or ""):
+                if m := match(text, at):
+                    if len(m[1]) >= least:
+                        spans.append((m.start(), order, f"{kind}:{m.start()}:{m.end()}"))
+                    at = m.end()
+                else:
+                    at += 1
+        want = ",".join(x for *_, x in sorted(spans))
+        assert got[doc_id]["base_sha256"] == hashlib.sha256(want.encode()).hexdigest()
+
+
+def test_markov_precision_and_recall():
+    model = secrets.train(secrets.labelled_samples())
+    fresh = secrets.labelled_samples(2000, seed=1234)
+    found = [(model.is_random(s), y) for s, y in fresh]
+    right = sum(x and y for x, y in found)
+    assert right >= 0.97 * sum(y for _, y in found) and right >= 0.98 * sum(x for x, _ in found)
+
+
+def test_urls_by_plain_parsing(spark):
+    pages = spark.read.parquet(f"{SMALL}/pages.parquet")
+    got = {r["page_id"]: r for r in url_filter.judge_urls(pages).collect()}
+    for r in pages.collect():
+        _, scheme, rest = (r["url"] or "").partition("://")
+        host = re.split(r"[/?#]", rest)[0] if scheme else ""
+        path = re.split(r"[?#]", rest[len(host) :])[0] if scheme else ""
+        host = host.translate(ASCII_LOWER)
+        fits = [(len(d) + len(p), d + p, what) for what, d, p in url_filter.RULES if (host == d or host.endswith("." + d)) and path.startswith(p)]
+        _, rule, verdict = max(fits, default=(0, None, None))
+        own = got[r["page_id"]]
+        assert (own["host"], own["path"], own["rule"]) == (host, path, rule) and verdict in (None, own["verdict"])

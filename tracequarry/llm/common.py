@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
@@ -21,10 +22,13 @@ _written: dict[str, SparkSession] = {}
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors and the driver share: ``spark.checkpoint.dir``.
 
-    Only where the session names none (tests, a laptop) a temporary one is set.
+    Only where the session names none and runs in one process (tests, a laptop) a
+    temporary one is set; on a cluster that is an error.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not re.match(r"local(\[|\Z)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = f"file://{tempfile.mkdtemp(prefix='tracequarry-')}"
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")

@@ -4,8 +4,9 @@ Every document gets an exponential key, scaled by its quality weight. A source's
 target is met by whole epochs first; the rest is the prefix, in key order, of the
 source's documents, cut within the last of them so that the target is met exactly.
 
-A large source isn't sorted in one task: keys are cut into even slices, slices are
-summed, and a running total over slice sums gives each slice its offset.
+A large source isn't sorted in one task: keys are cut into slices, slices are summed,
+and a running total over slice sums gives each slice its offset. Slices are even for the
+source's smallest weight; others are at most as much larger as their weight is.
 """
 
 from __future__ import annotations
@@ -19,7 +20,6 @@ WEIGHTS = (5.0, 2.0, 1.0)
 SHARE = 1.5
 MOST = 2.0
 SLICE_ROWS = 1_000
-MOST_SLICES = 65_536
 
 
 def word_count(text: Column) -> Column:
@@ -69,68 +69,71 @@ def targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float
     )
 
 
+def _placed(docs: DataFrame, key: str, text: str, source: str, weights, share: float, most: float, seed: int, quality_weight: Column | None) -> tuple[DataFrame, DataFrame]:
+    """(``id``, ``size``, ``source``, ``order``, ``before``: words of the source before it in key order) of each row, with its source's figures; and those figures."""
+    size, order, weight = _drawn(key, text, seed, quality_weight)
+    rows = materialize(docs.select(F.col(key).alias("id"), F.col(source).alias("source"), size.alias("size"), order.alias("order"), weight.alias("w")))
+    sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("docs"), F.min("w").alias("least"))
+    goal = targets(sizes, weights, share, most).join(sizes.select(F.col("source").alias("s"), "least"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
+    whole = F.floor(F.col("target") / F.greatest("source_size", F.lit(1)))
+    goal = materialize(goal.withColumn("whole", whole).withColumn("left", F.round(F.col("target") - F.col("whole") * F.col("source_size")).cast("long")))
+    placed = rows.alias("r").join(goal.alias("g"), F.col("r.source").eqNullSafe(F.col("g.source"))).select("r.*", "source_size", "docs", "rank", "target", "least", "whole", "left")
+    # 1 - exp(-order * least) rises with the key and lies between 0 and 1
+    slices = F.floor(F.col("docs") / SLICE_ROWS) + 1
+    placed = placed.withColumn("slice", F.floor((F.lit(1.0) - F.exp(-F.col("order") * F.col("least"))) * slices))
+    sums = placed.groupBy("rank", "slice").agg(F.sum("size").alias("sum"))
+    before = Window.partitionBy("rank").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sums.select("rank", "slice", F.coalesce(F.sum("sum").over(before), F.lit(0)).alias("offset"))
+    within = Window.partitionBy("rank", "slice").orderBy("order", "id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    return placed.join(offsets, ["rank", "slice"]).withColumn("before", F.col("offset") + F.coalesce(F.sum("size").over(within), F.lit(0))), goal
+
+
+def _drawn(key: str, text: str, seed: int, quality_weight: Column | None) -> tuple[Column, Column, Column]:
+    """A row's size, key in the order of the draw, and weight."""
+    size = word_count(F.col(text))
+    weight = quality(F.col(text), size) if quality_weight is None else F.coalesce(quality_weight, F.lit(1.0))
+    return size, -F.log(uniform(F.col(key), F.col(text), seed)) / weight, weight
+
+
 def mix(
     docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", weights=WEIGHTS,
     share: float = SHARE, most: float = MOST, seed: int = 20, quality_weight: Column | None = None,
 ) -> DataFrame:
     """One row per document: ``key``, ``size``, ``source``, ``source_size``, ``target``, ``taken``.
 
-    ``size`` counts words, null text as none. ``taken`` is in words, repeats counted:
-    whole epochs of the source, then documents in key order until the target is met;
-    of the last one only the words that are still missing. ``quality_weight`` must lie
-    above 0; null counts as 1. Documents without words take nothing. Null is a source
-    like any other. Repeated rows have equal keys and follow each other. An empty table
-    gives no rows.
+    ``size`` counts words, null text as none; whole texts are read, however long.
+    ``taken`` is in words, repeats counted: whole epochs of the source, then documents in
+    key order until the target is met; of the last one only the words that are still
+    missing. ``quality_weight`` must lie above 0; null counts as 1. Documents without
+    words take nothing. Null is a source like any other. Repeated rows have equal keys
+    and follow each other. An empty table gives no rows; other columns aren't looked at.
     """
-    size = word_count(F.col(text))
-    weight = quality(F.col(text), size) if quality_weight is None else F.coalesce(quality_weight, F.lit(1.0))
-    rows = materialize(
-        docs.select(
-            F.col(key).alias("id"),
-            F.col(source).alias("source"),
-            size.alias("size"),
-            uniform(F.col(key), F.col(text), seed).alias("u"),
-            weight.alias("w"),
-        ).withColumn("order", -F.log("u") / F.col("w"))
-    )
-    sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("docs"))
-    goal = materialize(targets(sizes, weights, share, most))
-    # 1 - exp(-order) rises with the key and lies between 0 and 1
-    slices = F.least(F.lit(MOST_SLICES), F.floor(F.col("docs") / SLICE_ROWS) + 1)
-    placed = rows.alias("r").join(goal.alias("g"), F.col("r.source").eqNullSafe(F.col("g.source"))).select("r.*", "source_size", "docs", "rank", "target")
-    placed = placed.withColumn("slice", F.floor((F.lit(1.0) - F.exp(-F.col("order"))) * slices))
-    sums = placed.groupBy("rank", "slice").agg(F.sum("size").alias("sum"))
-    before = Window.partitionBy("rank").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sums.select("rank", "slice", F.coalesce(F.sum("sum").over(before), F.lit(0)).alias("offset"))
-    within = Window.partitionBy("rank", "slice").orderBy("order", "id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    placed = placed.join(offsets, ["rank", "slice"]).withColumn("before", F.col("offset") + F.coalesce(F.sum("size").over(within), F.lit(0)))
-    whole = F.floor(F.col("target") / F.greatest("source_size", F.lit(1)))
-    left = F.round(F.col("target") - whole * F.col("source_size")).cast("long")
-    part = F.greatest(F.lit(0), F.least(F.col("size"), left - F.col("before")))
+    placed, _ = _placed(docs, key, text, source, weights, share, most, seed, quality_weight)
+    part = F.greatest(F.lit(0), F.least(F.col("size"), F.col("left") - F.col("before")))
     return placed.select(
-        F.col("id").alias(key), "size", "source", "source_size", "target", (whole * F.col("size") + part).cast("long").alias("taken")
+        F.col("id").alias(key), "size", "source", "source_size", "target", (F.col("whole") * F.col("size") + part).cast("long").alias("taken")
     )
 
 
-def mixed_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", length: str | None = "n_chars", **how) -> DataFrame:
-    """The mix itself, with the columns of ``docs``: a document once per epoch that takes it whole, and its first words where it is taken in part.
+def mixed_documents(
+    docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", weights=WEIGHTS,
+    share: float = SHARE, most: float = MOST, seed: int = 20, quality_weight: Column | None = None,
+) -> DataFrame:
+    """The mix itself, with the columns of ``docs``: each document whole, once for each epoch that takes it.
 
-    ``length``, if the table has it, is set to the length of a cut text. Rows with the
-    same key must have the same text.
+    Of each source's last document at least half must be missing to the target for it to
+    be taken. Documents without words, null texts among them, stay once. What is taken
+    lies before one key in each source, so that texts aren't shuffled; rows with equal
+    keys, ids and sizes are taken alike. An empty table gives no rows.
     """
-    taken = mix(docs, key, text, source, **how).where("taken > 0").select(F.col(key).alias("__id"), "size", "taken")
-    taken = taken.groupBy("__id").agg(F.max("size").alias("__size"), F.max("taken").alias("__taken"))
-    chosen = docs.join(taken, F.col(key).eqNullSafe(F.col("__id")))
-    rest = F.col("__taken") % F.col("__size")
-    copies = F.concat(
-        F.array_repeat(F.lit(0).cast("long"), F.floor(F.col("__taken") / F.col("__size")).cast("int")),
-        F.when(rest > 0, F.array(rest)).otherwise(F.array().cast("array<bigint>")),
-    )
-    chosen = chosen.withColumn("__words", F.explode(copies))
-    ends = F.split(F.col(text), r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])")
-    cut = F.when(F.col("__words") == 0, F.col(text)).otherwise(F.array_join(F.slice(ends, F.lit(1), F.col("__words").cast("int")), ""))
-    chosen = chosen.withColumn(text, cut)
-    if length in docs.columns:
-        shorter = F.when(F.col("__words") == 0, F.col(length)).otherwise(F.length(text).cast(docs.schema[length].dataType))
-        chosen = chosen.withColumn(length, shorter)
+    placed, goal = _placed(docs, key, text, source, weights, share, most, seed, quality_weight)
+    mark = lambda order, key, size: F.struct(order.alias("order"), key.alias("id"), size.alias("size"))
+    inside = placed.where((F.col("size") > 0) & (F.lit(2) * (F.col("left") - F.col("before")) >= F.col("size")))
+    last = inside.groupBy("rank").agg(F.max(mark(F.col("order"), F.col("id"), F.col("size"))).alias("last"))
+    goal = materialize(goal.join(last, "rank", "left").select(F.col("source").alias("__source"), F.col("whole").alias("__whole"), F.col("last").alias("__last")))
+    size, order, _ = _drawn(key, text, seed, quality_weight)
+    chosen = docs.join(goal, F.col(source).eqNullSafe(F.col("__source"))).withColumn("__size", size)
+    taken = F.col("__whole") + F.coalesce(mark(order, F.col(key), F.col("__size")) <= F.col("__last"), F.lit(False)).cast("int")
+    copies = F.when(F.col("__size") > 0, taken).otherwise(1).cast("int")
+    chosen = chosen.withColumn("__copy", F.explode(F.array_repeat(F.lit(0), copies)))
     return chosen.select(*[F.col(f"`{c}`") for c in docs.columns])

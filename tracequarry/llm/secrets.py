@@ -148,11 +148,13 @@ def digest_spans(spans: list[tuple[int, int, str]]) -> str:
 
 
 def scan_secrets(docs: DataFrame, key: str = "doc_id", text: str = "text", model: Markov | None = None) -> DataFrame:
-    """One row per document: ``key`` and ``secrets``, an array of (start, end, kind, value).
+    """One row per document: ``key`` and ``secrets``, an array of (start, end, kind, value, ratio).
 
-    Offsets are code points, the end exclusive. Null and empty texts have no secrets;
-    whole texts are scanned. Repeated rows give repeated results, an empty table none;
-    other columns aren't looked at.
+    Offsets are code points, the end exclusive; ``ratio`` is the models' log-likelihood
+    ratio per character, null for patterns. Null and empty texts have no secrets; whole
+    texts are scanned, however long. Spans that start at one place are in the order of
+    ``KINDS``. Repeated rows give repeated results, an empty table none; other columns
+    aren't looked at, whatever their names.
     """
     model = model or train(labelled_samples())
     kind = docs.schema[key].dataType.simpleString()
@@ -162,11 +164,11 @@ def scan_secrets(docs: DataFrame, key: str = "doc_id", text: str = "text", model
             found = []
             for t in batch["text"]:
                 t = t if isinstance(t, str) else ""
-                found.append([(s, e, k, t[s:e]) for s, e, k in scan(t, model)])
+                found.append([(s, e, k, t[s:e], model.score(t[s:e]) if k == "markov" else None) for s, e, k in scan(t, model)])
             yield pd.DataFrame({"id": batch["id"], "secrets": found})
 
     rows = docs.select(F.col(key).alias("id"), F.col(text).alias("text"))
-    schema = f"id {kind}, secrets array<struct<start: bigint, end: bigint, kind: string, value: string>>"
+    schema = f"id {kind}, secrets array<struct<start: bigint, end: bigint, kind: string, value: string, ratio: double>>"
     return rows.mapInPandas(run, schema).withColumnRenamed("id", key)
 
 

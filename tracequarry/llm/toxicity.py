@@ -19,22 +19,23 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .common import materialize
 
 #: At most about so many labelled texts of each class are learnt from, chosen by a hash of the key.
 MOST_LABELLED = 6_000
-MOST_TOKENS = 65_536
 CLEAR = 3.0  # standard deviations
 PRIOR = 0.1  # pseudo-counts, as a share of a token's count, dealt to the classes by their size
 SIGNIFICANT = 0.05
 LOSS = -0.1
 STEMS = range(8, 3, -1)  # letters of a word's beginning, which is written with a * after it
 REPEATS = 4  # a token counts so often in a text at most
-MEMORY = 300_000  # words whose score a task remembers
+MEMORY = 100_000  # words whose score a task remembers
 FOLDS, LEFT_OUT = 3, 1
 
 letters = re.compile(r"[^\W\d_]+").findall
@@ -129,18 +130,20 @@ class Toxicity:
         n = len(tokens)
         return [(s, e, x, self.scale * n * math.exp(-self.rate * x)) for s, e, x in maximal_segments(hits)], n
 
-    def features(self, text: str | None) -> tuple[float, float]:
-        """Of the most surprising segment, -log10 of the chance that clean text holds one like it; log(1 + the number of significant ones)."""
-        expected = [e for *_, e in self.passages(text)[0]]
-        if not expected:
-            return 0.0, 0.0
-        chance = -math.expm1(-min(expected))
-        return min(30.0, -math.log10(max(chance, 1e-30))), math.log1p(sum(e < SIGNIFICANT for e in expected))
-
-    def score(self, text: str | None) -> float:
+    def judged(self, text: str | None) -> tuple[float, list[tuple[int, int, float, float]]]:
+        """(score, significant passages) of a text, by one scan."""
+        found = self.passages(text)[0]
+        significant = [p for p in found if p[3] < SIGNIFICANT]
         a, b, c = self.weights
-        x, y = self.features(text)
-        return 1.0 / (1.0 + math.exp(-max(-500.0, min(500.0, a + b * x + c * y))))
+        x, y = features(min((p[3] for p in found), default=None), len(significant))
+        return 1.0 / (1.0 + math.exp(-max(-500.0, min(500.0, a + b * x + c * y)))), significant
+
+
+def features(least: float | None, significant: int) -> tuple[float, float]:
+    """Of the most surprising segment, -log10 of the chance that clean text holds one like it; log(1 + the number of significant ones)."""
+    if least is None:
+        return 0.0, 0.0
+    return min(30.0, -math.log10(max(-math.expm1(-least), 1e-30))), math.log1p(significant)
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.01) -> np.ndarray:
@@ -211,7 +214,7 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     t, c = F.col("t") + prior * share_t, F.col("c") + prior * (1 - share_t)
     delta = F.log(t / (F.lit(n_t + PRIOR * (n_t + n_c) * share_t) - t)) - F.log(c / (F.lit(n_c + PRIOR * (n_t + n_c) * (1 - share_t)) - c))
     scored = counts.select("token", "t", "c", delta.alias("d"), (delta / F.sqrt(F.lit(1.0) / t + F.lit(1.0) / c)).alias("z"))
-    clear = scored.where(F.abs("z") >= CLEAR).orderBy(F.abs("z").desc(), "token").limit(MOST_TOKENS).collect()
+    clear = scored.where(F.abs("z") >= CLEAR).select("token", "d").collect()  # of the bounded sample's tokens those that differ clearly
     odds = {r["token"]: r["d"] for r in clear}
 
     # extreme values: the scores of clean text, and its best segments
@@ -233,49 +236,55 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
             for y, t in zip(batch["y"], batch["text"]):
                 found, n = raw.passages(t)
                 expected = [e for *_, e in found]
-                out.append((y, min(expected, default=float(n)), sorted(expected)[:64]))
+                out.append((y, min(expected, default=float(n)), expected))
             yield pd.DataFrame(out, columns=["y", "least", "expected"])
 
-    seen = sample.select("y", "text").mapInPandas(measure, "y int, least double, expected array<double>").toPandas()  # the bounded sample
-    clean = seen.loc[seen["y"] == 0, "least"].to_numpy()
+    seen = materialize(sample.select("y", "text").mapInPandas(measure, "y int, least double, expected array<double>"))
+    clean = seen.where("y = 0").select("least").toPandas()["least"]  # at most about `most` rows
     # scale * least is exponential with mean 1 in clean text; the median is not moved by a few toxic ones among them
     scale = math.log(2) / max(float(np.median(clean)), 1e-12)
-    x = []
-    for least, expected in zip(seen["least"], seen["expected"]):
-        few = [scale * e for e in expected]
-        x.append((min(30.0, -math.log10(max(-math.expm1(-scale * least), 1e-30))) if few else 0.0, math.log1p(sum(e < SIGNIFICANT for e in few))))
+    found = F.size(F.filter("expected", lambda e: e * F.lit(scale) < SIGNIFICANT))
+    seen = seen.select("y", F.when(F.size("expected") > 0, F.col("least") * F.lit(scale)).alias("least"), found.alias("found")).toPandas()  # the bounded sample
+    x = [features(None if math.isnan(least) else least, found) for least, found in zip(seen["least"], seen["found"])]
     weights = fit_logistic(np.array(x), seen["y"].to_numpy(float))
     return Toxicity(odds, rate, scale, tuple(float(w) for w in weights))
 
 
-def score_toxicity(docs: DataFrame, model: Toxicity, key: str = "doc_id", text: str = "text", limit: float = 0.7) -> DataFrame:
-    """``docs`` with ``score``, ``predicted`` and ``passages``; columns of these names are replaced.
+def score_toxicity(docs: DataFrame, model: Toxicity, key: str = "doc_id", text: str = "text", limit: float = 0.7, prefix: str = "") -> DataFrame:
+    """``docs`` with ``score``, ``predicted`` and ``passages``, their names after ``prefix``; columns of these names are replaced.
 
     ``passages`` are the significant segments as (first token, last token, score,
     expected number), tokens being runs of letters. Null and empty texts have no
-    segments and the score of one without any. Repeated rows score alike.
+    segments and the score of one without any; very long ones are scanned whole, once.
+    Repeated rows and null keys score like any other; an empty table gives no rows.
     """
-    kinds = "score double, predicted int, passages array<struct<first: bigint, last: bigint, score: double, expected: double>>"
-    rest = [c for c in docs.columns if c not in ("score", "predicted", "passages")]
-    base = docs.select(*[F.col(f"`{c}`") for c in rest])
-    schema = base.schema
-    from pyspark.sql.types import StructType, _parse_datatype_string
-
-    full = StructType(schema.fields + _parse_datatype_string(kinds).fields)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    names = [f"{prefix}{c}" for c in ("score", "predicted", "passages")]
+    kinds = f"`{names[0]}` double, `{names[1]}` int, `{names[2]}` array<struct<first: bigint, last: bigint, score: double, expected: double>>"
+    base = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in names])
+    full = StructType(base.schema.fields + StructType.fromDDL(kinds).fields)
+    at = base.columns.index(text)
+    passage = pa.struct([("first", pa.int64()), ("last", pa.int64()), ("score", pa.float64()), ("expected", pa.float64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            scores, passages = [], []
-            for t in batch[text]:
-                scores.append(model.score(t))
-                passages.append([p for p in model.passages(t)[0] if p[3] < SIGNIFICANT])
-            yield batch.assign(score=scores, predicted=[int(s >= limit) for s in scores], passages=passages)
+            judged = [model.judged(t) for t in batch.column(at).to_pylist()]
+            scores = pa.array([s for s, _ in judged], pa.float64())
+            predicted = pa.array([int(s >= limit) for s, _ in judged], pa.int32())
+            passages = pa.array([[dict(zip(("first", "last", "score", "expected"), p)) for p in found] for _, found in judged], pa.list_(passage))
+            yield pa.RecordBatch.from_arrays([*batch.columns, scores, predicted, passages], names=full.names)
 
-    return base.mapInPandas(run, full)
+    return base.mapInArrow(run, full)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", limit: float = 0.7) -> DataFrame:
-    """One row per document: ``key``, ``held_out``, ``score``, ``predicted``, ``passages``, after fitting on ``labels``."""
+    """One row per document: ``key``, ``held_out``, ``score``, ``predicted``, ``passages``, after fitting on ``labels``.
+
+    Labels other than 0 and 1 and those without a key are left out; of several for one
+    key the highest counts. Without labels of both classes nothing is toxic. Null and
+    empty texts score like texts without segments; a null key is in fold crc32('') mod 3.
+    Repeated rows give repeated results, an empty table none; other columns aren't
+    looked at, whatever their names.
+    """
     model = train(docs, labels, key, text, label)
-    scored = score_toxicity(docs.select(key, text), model, key, text, limit)
-    return scored.select(key, (fold(F.col(key)) == LEFT_OUT).alias("held_out"), "score", "predicted", "passages")
+    scored = score_toxicity(docs.select(F.col(key).alias("id"), F.col(text).alias("text")), model, "id", "text", limit)
+    return scored.select(F.col("id").alias(key), (fold(F.col("id")) == LEFT_OUT).alias("held_out"), "score", "predicted", "passages")

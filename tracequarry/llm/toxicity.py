@@ -21,7 +21,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -200,9 +200,10 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
             yield pd.DataFrame([(f, t, c) for f, (c, t) in sums.items()], columns=["token", "t", "c"])
 
     # near copies share their smallest marks; together they count as one text
-    texts = sample.mapInPandas(read, "y int, m0 bigint, m1 bigint, tokens array<string>")
-    size = [F.count("*").over(Window.partitionBy(m)) for m in ("m0", "m1")]
-    texts = texts.select("y", "tokens", (F.lit(1.0) / F.greatest(*size)).alias("w"))
+    texts = materialize(sample.mapInPandas(read, "y int, m0 bigint, m1 bigint, tokens array<string>"))
+    for m in ("m0", "m1"):
+        texts = texts.join(F.broadcast(texts.groupBy(m).agg(F.count("*").alias(f"n_{m}"))), m)  # as many rows as the sample at most
+    texts = texts.select("y", "tokens", (F.lit(1.0) / F.greatest("n_m0", "n_m1")).alias("w"))
     counts = texts.mapInPandas(count, "token string, t double, c double").groupBy("token").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
     counts = materialize(counts)
     sums = counts.agg(F.sum("t"), F.sum("c")).first()

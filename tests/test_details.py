@@ -9,14 +9,14 @@ from tracequarry.operators import arguments, document, instructions, scopes
 
 
 def test_arguments(spark):
-    plain = [{"name": "source", "type": "UInt32"}, {"name": "message", "stringValue": {"value": "composite19"}}]
-    nested = [{"name": "pLabelInfo", "structureValue": {"arguments": [{"name": "pLabelName", "stringValue": {"value": "BetterSDF composite"}}]}}]
+    plain = [{"name": "severity", "type": "UInt32"}, {"name": "message", "stringValue": {"value": "shadow pass 4"}}]
+    nested = [{"name": "pLabelInfo", "structureValue": {"arguments": [{"name": "pLabelName", "stringValue": {"value": "outline blur"}}]}}]
     draw = [{"name": "indexCount", "uint32Value": {"value": 36}}, {"name": "INDEXCOUNT", "uint32Value": {"value": 1}}, {"name": "width", "uint64Value": {"value": "640"}}, {"name": "indexCount", "uint32Value": {"value": 9}}]
     barrier = [{"x": [{"name": "srcStageMask", "uint32Value": {"value": 4, "displayString": "TOP"}}, {"name": "srcStageMask", "uint32Value": {"value": 8}}, {"name": "dstStageMask", "uint64Value": {"value": 16}}]}]
     handles = [{"handleValue": {"handle": "0x10"}}, {"handleValue": {"handle": "0"}}, {"a": [{"handleValue": {"handle": "0x20"}}]}] + [{"handleValue": {"handle": f"h{k}"}} for k in range(80)]
     rows = [(k, json.dumps(v) if v is not None else None) for k, v in enumerate((plain, nested, draw, barrier, handles, None))] + [(6, "no json")]
     got = arguments.with_evidence(spark.createDataFrame(rows, "k int, arguments string")).orderBy("k").collect()
-    assert [r["label"] for r in got] == ["composite19", "BetterSDF composite", *[None] * 5]
+    assert [r["label"] for r in got] == ["shadow pass 4", "outline blur", *[None] * 5]
     assert got[2]["workload"] == {"indexcount": 36, "width": 640}
     assert (got[3]["src_stage"], got[3]["dst_stage"], got[3]["src_access"], got[3]["barrier_objects"]) == ("TOP", "16", None, 2)
     assert got[4]["handles"][:3] == ["0x10", "0x20", "h0"] and len(got[4]["handles"]) == 64

@@ -1,7 +1,14 @@
 from __future__ import annotations
 
+import json
+
+import pytest
+from pyspark.sql import functions as F
+
 from tests.conftest import SMALL
-from tracequarry.plans.reports import Capture, analyze, compare_captures
+from tracequarry.operators.numbering import numbered
+from tracequarry.plans.reports import Capture, QueryError, analyze, compare_captures, metric_evaluation, query_capture
+from tracequarry.sources import sinks
 from tracequarry.sources import substrate as sub
 from tracequarry.streaming.windows import windowed_scan
 
@@ -26,3 +33,35 @@ def test_windows_over_a_stream(spark, tmp_path):
     got = {(r["start"], r["metric"]): r["valid_samples"] for r in spark.table("windowed").collect()}
     want = {(r["start"], r["metric"]): r["valid_samples"] for r in windowed_scan(values, "1 day", "1 day").collect()}
     assert got == want and got
+
+
+def test_requests_that_are_refused(spark):
+    capture = Capture(sub.calls(spark, SMALL), sub.boundaries(spark, SMALL), sub.frames(spark, SMALL))
+    for bad in ([], [{"type": "calls"}] * 17, [{"type": "dance"}], [{"type": "scopes"}]):
+        with pytest.raises(QueryError):
+            query_capture(capture, bad)
+    with pytest.raises(QueryError):
+        query_capture(Capture(), [{"type": "scopes", "kind": "action"}])
+    with pytest.raises(QueryError):
+        metric_evaluation(capture)
+
+
+def test_numbers_over_blocks(spark):
+    rows = spark.createDataFrame([(k % 3, 7 * k) for k in range(200)], "key int, at bigint").repartition(4)
+    got = sorted(tuple(r) for r in numbered(rows, ["key"], "at", "n", block=50).collect())
+    assert got == sorted((k % 3, 7 * k, k // 3) for k in range(200))
+
+
+def test_sinks(spark, tmp_path):
+    df = spark.createDataFrame([(1, None), (2, "x")], "a int, b string")
+    assert [json.loads(r["json"]) for r in sinks.json_rows(df).collect()] == [{"a": 1, "b": None}, {"a": 2, "b": "x"}]
+    folder = f"file://{tmp_path}/out"
+    assert sinks.unpack({"t": df, "none": None}, folder) == ["t"] and spark.read.parquet(f"{folder}/t").count() == 2
+    with pytest.raises(sinks.SinkError):
+        sinks.unpack({"t": df}, folder)
+    artifacts = df.select(F.concat(F.lit("p/"), F.col("a").cast("string")).alias("path"), F.encode(F.lit("abc"), "UTF-8").alias("content"))
+    assert sinks.extract(artifacts, "p/1", f"{tmp_path}/f") == 3
+    with pytest.raises(FileExistsError):
+        sinks.extract(artifacts, "p/1", f"{tmp_path}/f")
+    with pytest.raises(sinks.SinkError):
+        sinks.extract(artifacts, "p/9", f"{tmp_path}/g")

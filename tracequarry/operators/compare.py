@@ -12,6 +12,7 @@ from ..functions.scalars import metric_kind, metric_priority, relative_change
 # fixed values: the congruential generator's seed, factor and step
 SEED, FACTOR, STEP = 0x9E3779B97F4A7C15, 6364136223846793005, 1442695040888963407
 ROUNDS = 512
+MOST_METRICS = 64
 
 
 def metric_deltas(baseline: DataFrame, candidate: DataFrame) -> DataFrame:
@@ -55,6 +56,41 @@ def match_items(baseline: DataFrame, candidate: DataFrame, keys: list[str], orde
     return both.select(*keys, "occurrence", change.alias("change"))
 
 
+def scope_metric_deltas(matched: DataFrame, baseline: DataFrame, candidate: DataFrame) -> DataFrame:
+    """For each matched pair of scopes and metric: means, difference, relative change and coverage on both sides.
+
+    ``matched`` has ``id_a`` and ``id_b``; the others are statistics by scope ``id`` and
+    ``metric``. A side without statistics has no mean and a coverage of 0.
+    """
+    take = lambda df, x: df.select(F.col("id").alias(f"id_{x}"), "metric", F.col("mean").alias(f"mean_{x}"), F.col("coverage_pct").alias(f"coverage_{x}"))
+    names = baseline.select("metric").union(candidate.select("metric")).distinct()
+    rows = matched.crossJoin(F.broadcast(names.limit(MOST_METRICS)))
+    both = rows.join(take(baseline, "a"), ["id_a", "metric"], "left").join(take(candidate, "b"), ["id_b", "metric"], "left")
+    return both.select(
+        *matched.columns, "metric", "mean_a", "mean_b", (F.col("mean_b") - F.col("mean_a")).alias("delta"), relative_change(F.col("mean_a"), F.col("mean_b")).alias("relative_pct"),
+        F.coalesce("coverage_a", F.lit(0.0)).alias("coverage_a"), F.coalesce("coverage_b", F.lit(0.0)).alias("coverage_b"),
+    )
+
+
+def ranked_scopes(deltas: DataFrame, top: int = 8) -> DataFrame:
+    """Matched scopes (``id_a``, ``id_b``, ``duration_pct``) by the greater of their change of duration and of any metric, the ``top`` first."""
+    score = F.greatest(F.coalesce(F.abs(F.first("duration_pct")), F.lit(0.0)), F.coalesce(F.max(F.abs("relative_pct")), F.lit(0.0)))
+    return deltas.groupBy("id_a", "id_b").agg(score.alias("score")).orderBy(F.desc("score"), "id_a").limit(max(1, top))
+
+
+def ordered_changes(items: DataFrame, top: int = 50) -> DataFrame:
+    """Matched items: changed ones first, then added, removed and unchanged."""
+    rank = F.when(F.col("change") == "changed", 0).when(F.col("change") == "added", 1).when(F.col("change") == "removed", 2).otherwise(3)
+    rest = [c for c in items.columns if c != "change"]
+    return items.withColumn("rank", rank).orderBy("rank", *rest).limit(top)
+
+
+def capture_reference(checks: DataFrame) -> DataFrame:
+    """One row: the worst status and the checks that didn't pass, worst first."""
+    bad = F.array_sort(F.collect_list(F.when(F.col("status") != "pass", F.struct((-F.col("rank")).alias("r"), F.concat_ws(": ", "code", "status").alias("text")))))
+    return checks.agg(F.max_by("status", "rank").alias("quality"), F.concat_ws(", ", F.transform(bad, lambda b: b["text"])).alias("checks"))
+
+
 def comparability(baseline: DataFrame, candidate: DataFrame, identity: list[str]) -> DataFrame:
     """Differences of (``name``, ``value``) settings, nulls being equal; comparable unless one of ``identity`` differs."""
     both = baseline.select("name", F.col("value").alias("a")).join(candidate.select("name", F.col("value").alias("b")), "name", "full_outer")
@@ -69,7 +105,7 @@ def draws(n: int, start: int = SEED) -> np.ndarray:
 
 
 def bootstrap_interval(a: np.ndarray, wa: np.ndarray, b: np.ndarray, wb: np.ndarray, method: str = "compat") -> tuple[float, float] | None:
-    """Bounds of the difference of weighted means, b less a, over 512 resamples; None with fewer than two values on a side.
+    """Bounds of the difference of weighted means, b less a, over 512 resamples; None with fewer than two values on a side. A resample without weight has mean 0.
 
     ``compat`` draws indexes from the generator's low bits, whose period is short for
     sizes that are powers of two; any other method draws from PCG64 with a fixed seed.
@@ -83,7 +119,8 @@ def bootstrap_interval(a: np.ndarray, wa: np.ndarray, b: np.ndarray, wb: np.ndar
     else:
         rng = np.random.default_rng(SEED & 0xFFFFFFFF)
         i, j = rng.integers(0, len(a), (ROUNDS, len(a))), rng.integers(0, len(b), (ROUNDS, len(b)))
-    d = np.sort((b[j] * wb[j]).sum(axis=1) / wb[j].sum(axis=1) - (a[i] * wa[i]).sum(axis=1) / wa[i].sum(axis=1))
+    mean = lambda v, w: np.divide((v * w).sum(axis=1), w.sum(axis=1), out=np.zeros(ROUNDS), where=w.sum(axis=1) > 0)
+    d = np.sort(mean(b[j], wb[j]) - mean(a[i], wa[i]))
     return float(d[int(ROUNDS * 0.025)]), float(d[int((ROUNDS - 1) * 0.975)])
 
 

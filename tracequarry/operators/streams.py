@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import call_kind, is_index_action, marker_direction
+from .numbering import numbered
 from .overlap import overlap_join
 
 STREAM = ["device_index", "queue_index", "stream_index"]
@@ -113,8 +114,7 @@ def actions(calls: DataFrame, by: list[str] | None = None) -> DataFrame:
     counts = a.groupBy(*keys).agg(F.count("*").alias("n"))
     before = Window.partitionBy(*(by or [])).orderBy(*STREAM).rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(*keys, F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    own = F.row_number().over(Window.partitionBy(*keys).orderBy("call_index")) - 1
-    return a.withColumn("own", own).join(offsets, keys).withColumn("action_index", F.col("base") + F.col("own")).drop("own", "base")
+    return numbered(a, keys, "call_index", "own").join(offsets, keys).withColumn("action_index", F.col("base") + F.col("own")).drop("own", "base")
 
 
 def covered_calls(buckets: DataFrame, calls: DataFrame, usable_only: bool) -> DataFrame:

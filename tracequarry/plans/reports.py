@@ -10,8 +10,11 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from ..operators import compare, diagnostics, intervals, quality, ranking, statistics, streams
+from ..operators import compare, diagnostics, intervals, quality, ranking, scope_tables, selection, state, statistics, streams
+from ..operators.overlap import overlap_join
+from ..operators.scopes import ScopeError, parse_scope, time_scope
 
 
 @dataclass(frozen=True)
@@ -66,6 +69,158 @@ def compare_captures(baseline: Capture, candidate: Capture, top: int = 8) -> Rep
         lambda: compare.metric_deltas(statistics.metric_scan(a.metric_samples), statistics.metric_scan(b.metric_samples)),
     )
     out.add("ranked_deltas", (deltas,), lambda: compare.ranked_deltas(deltas, top))
-    spans = lambda f: f.selectExpr("id", "cast(weekday(timestamp_seconds(start_ns div 1000000000)) as string) as label", "end_ns - start_ns as duration_ns")
-    out.add("frames", (a.frames, b.frames), lambda: compare.match_scopes(spans(a.frames), spans(b.frames), top))
+    out.add("metrics", (deltas,), lambda: selection.compared_metrics(deltas.select("metric"), statistics.metric_scan(a.metric_samples)))
+    spans = lambda f: scope_tables.frame_scopes(f).select("id", "label", (F.col("end_ns") - F.col("start_ns")).alias("duration_ns"))
+    matched = out.add("frames", (a.frames, b.frames), lambda: compare.match_scopes(spans(a.frames), spans(b.frames), top))
+
+    def scope_deltas() -> DataFrame:
+        means = lambda c: statistics.overlap_statistics(c.frames, c.samples, c.metric_samples)
+        return compare.scope_metric_deltas(matched.select("id_a", "id_b", "duration_pct"), means(a), means(b))
+
+    scoped = out.add("scope_deltas", (matched, a.samples, b.samples, a.metric_samples, b.metric_samples), scope_deltas)
+    out.add("ranked_scopes", (scoped,), lambda: compare.ranked_scopes(scoped, top))
     return out
+
+
+#: Limits of the interface.
+MOST_QUERIES, MOST_METRICS, MOST_PATTERNS, MOST_SCOPES = 16, 64, 16, 1024
+
+
+class QueryError(ValueError):
+    """A query that can't be answered as it is asked."""
+
+
+def _index(capture: Capture) -> dict[str, DataFrame | None]:
+    """Tables that several queries need; each is made when it is read."""
+    c = capture
+    if c.calls is None or c.boundaries is None:
+        raise QueryError("the capture has no calls or no timestamp boundaries")
+    buckets = scope_tables.global_buckets(streams.timing_buckets(c.boundaries), c.calls)
+    return {"calls": c.calls, "buckets": buckets, "groups": streams.debug_groups(c.calls), "scopes": scope_tables.scope_table(c.calls, buckets, c.frames)}
+
+
+def _states(capture: Capture) -> DataFrame:
+    handles = capture.calls if "handle" in capture.calls.columns else capture.calls.withColumn("handle", F.lit(None).cast("string"))
+    return state.action_states(handles)
+
+
+def _page(rows: DataFrame, query: dict, order: list) -> DataFrame:
+    return selection.paged(rows, order, int(query.get("offset", 0)), int(query.get("limit", 50)))
+
+
+def _calls(capture: Capture, q: dict) -> DataFrame:
+    return _page(selection.calls_query(capture.calls, q.get("kind"), q.get("pattern")), q, ["global_index"])
+
+
+def _timings(capture: Capture, q: dict) -> DataFrame:
+    found = selection.timings_of_one_call(_index(capture)["buckets"], capture.calls, q.get("kind"), q.get("pattern"))
+    return _page(found, q, [F.col("max_duration_ns").desc_nulls_last(), "index"])
+
+
+def _scopes(capture: Capture, q: dict) -> DataFrame:
+    if "kind" not in q:
+        raise QueryError("kind is required")
+    return _page(selection.scopes_query(_index(capture)["scopes"], q["kind"], q.get("pattern")), q, ["call_start", "start_ns", "id"])
+
+
+def _inspect(capture: Capture, q: dict) -> DataFrame:
+    return inspect_scope(capture, q["scope"])["calls"]
+
+
+#: Sub-queries by type, from a capture and the query's arguments.
+QUERY_TYPES = {
+    "calls": _calls,
+    "timings": _timings,
+    "scopes": _scopes,
+    "inspect_scope": _inspect,
+    "action_states": lambda c, q: _page(selection.actions_query(_states(c), q.get("kind"), q.get("pattern")), q, [*streams.STREAM, "call_index"]),
+    "counter_samples": lambda c, q: _page(c.samples, q, ["range_index"]),
+    "metric_scan": lambda c, q: _page(statistics.metric_scan(c.metric_samples), q, ["metric"]),
+    "metric_evaluation": lambda c, q: metric_evaluation(c, q.get("metrics", ()), q.get("patterns", ()), q.get("scopes", ())),
+    "debug_groups": lambda c, q: _page(streams.debug_groups(c.calls), q, [*streams.STREAM, "sequence"]),
+    "frames": lambda c, q: _page(intervals.frame_summary(c.frames), q, [F.lit(1)]),
+    "scope_counts": lambda c, q: scope_tables.scope_counts(c.calls, _index(c)["buckets"], _index(c)["groups"], c.frames),
+    "workload": lambda c, q: streams.workload_summary(c.calls),
+}
+
+
+def query_capture(capture: Capture, queries: list[dict]) -> list[dict]:
+    """From 1 to 16 typed sub-queries: their position, type and rows. An unknown type is an error before any is made."""
+    if not 1 <= len(queries) <= MOST_QUERIES:
+        raise QueryError(f"from 1 to {MOST_QUERIES} queries, not {len(queries)}")
+    for k, q in enumerate(queries):
+        if q.get("type") not in QUERY_TYPES:
+            raise QueryError(f"queries[{k}] has unsupported type {q.get('type')!r}")
+    out = []
+    for k, q in enumerate(queries):
+        try:
+            out.append({"index": k, "type": q["type"], "data": QUERY_TYPES[q["type"]](capture, q)})
+        except (QueryError, ScopeError) as problem:
+            raise QueryError(f"queries[{k}] ({q['type']}): {problem}") from problem
+    return out
+
+
+def metric_evaluation(capture: Capture, metrics=(), patterns=(), scopes=()) -> DataFrame:
+    """Statistics of chosen metrics in each of the scopes (ids), or over the whole capture without scopes.
+
+    Names given come first, then what patterns find among the collected metrics; names
+    that the capture doesn't have give rows without values.
+    """
+    if not metrics and not patterns:
+        raise QueryError("metric_evaluation requires metrics, patterns, or both")
+    if len(metrics) > MOST_METRICS or len(patterns) > MOST_PATTERNS or len(scopes) > MOST_SCOPES:
+        raise QueryError(f"at most {MOST_METRICS} metrics, {MOST_PATTERNS} patterns and {MOST_SCOPES} scopes")
+    c = capture
+    hit = F.col("metric").isin(list(metrics))
+    for p in patterns:
+        hit = hit | F.col("metric").rlike(f"(?i){p}")
+    rows = c.metric_samples.where(hit)
+    if scopes:
+        chosen = _index(c)["scopes"].where(F.col("id").isin(list(scopes)))
+    else:
+        chosen = time_scope(parse_scope("capture"), c.samples)
+    return statistics.overlap_statistics(chosen.where("start_ns is not null").select("id", "start_ns", "end_ns"), c.samples, rows)
+
+
+def inspect_scope(capture: Capture, scope: str) -> dict[str, DataFrame]:
+    """A scope's row, its calls, what they are, the marker ranges in it and, if it is one over time, its timing buckets."""
+    at = _index(capture)
+    row = at["scopes"].where(F.col("id") == scope)
+    if row.isEmpty():
+        raise QueryError(f"unknown scope ID {scope!r}")
+    of = scope_tables.calls_of(row, capture.calls, at["buckets"])
+    spans = at["buckets"].where("start_ns is not null").select("index", F.col("start_ns").alias("b_start"), F.col("end_ns").alias("b_end"))
+    timed = row.where("call_start is null").select("id", "start_ns", "end_ns")
+    return {
+        "scope": row, "calls": of.orderBy("global_index").limit(scope_tables.MOST_LISTED), "evidence": scope_tables.call_evidence(of),
+        "children": scope_tables.child_groups(at["groups"]).where(F.col("id") == scope),
+        "timing_buckets": overlap_join(timed, spans, ("start_ns", "end_ns"), ("b_start", "b_end")).orderBy("index").limit(scope_tables.MOST_LISTED),
+    }
+
+
+def scope_evidence(capture: Capture, scope: str, metrics=(), patterns=(), states: int = 20) -> dict[str, DataFrame]:
+    """``inspect_scope`` with the scope's first action states and its metrics."""
+    out = inspect_scope(capture, scope)
+    offsets = scope_tables.stream_offsets(capture.calls)
+    placed = _states(capture).join(offsets, streams.STREAM).withColumn("global_index", F.col("base") + F.col("call_index"))
+    of = scope_tables.calls_of(out["scope"], capture.calls, _index(capture)["buckets"])
+    out["action_states"] = scope_tables.states_of(of, placed, states)
+    if metrics or patterns:
+        out["metrics"] = metric_evaluation(capture, metrics, patterns, [scope])
+    return out
+
+
+def overview(capture: Capture) -> dict[str, DataFrame]:
+    """Counts of the capture, its commonest calls, its frames and its 20 longest buckets."""
+    at = _index(capture)
+    return {
+        "calls": streams.workload_summary(capture.calls), "histogram": streams.call_histogram(capture.calls),
+        "scopes": scope_tables.scope_counts(capture.calls, at["buckets"], at["groups"], capture.frames),
+        "longest": ranking.longest_buckets(at["buckets"], ["index"]), "frames": capture.frames,
+    }
+
+
+def report(capture: Capture) -> dict[str, object]:
+    """Overview, and all of ``analyze``: quality, timeline, scan and diagnostics."""
+    whole = analyze(capture)
+    return {"overview": overview(capture), "unavailable": whole.unavailable} | whole.sections

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import call_kind
+from ..operators.numbering import numbered
 
 DAY_NS = 86_400_000_000_000
 STREAM = ["device_index", "queue_index", "stream_index"]
@@ -74,7 +75,7 @@ def global_index(rows: DataFrame, order: str) -> DataFrame:
     counts = rows.groupBy(*STREAM).agg(F.count("*").alias("n"))
     before = Window.orderBy(*STREAM).rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(*STREAM, F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"), F.col("n").alias("stream_calls"))
-    rows = rows.withColumn("call_index", F.row_number().over(Window.partitionBy(*STREAM).orderBy(order)) - 1)
+    rows = numbered(rows, STREAM, order, "call_index")
     return rows.join(offsets, STREAM).withColumn("global_index", F.col("offset") + F.col("call_index")).drop("offset")
 
 

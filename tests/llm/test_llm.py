@@ -272,17 +272,17 @@ def edited_copies(rng, copies, words=60, most=6):
         yield " ".join(copy)
 
 
-@pytest.mark.parametrize("most", [2**28, 2**14])
-def test_near_dedup_of_many_edited_copies(spark, monkeypatch, most):
+@pytest.mark.parametrize(("most", "copies"), [(2**28, 1000), (2**10, 250)])
+def test_near_dedup_of_many_edited_copies(spark, monkeypatch, most, copies):
     """Against all links: a crowd of copies at the threshold, finished in one forest and, with a low bound, in deeper ones."""
     monkeypatch.setattr(near_dedup, "MOST_COMPARISONS", most)
     monkeypatch.setattr(near_dedup, "CELL_ROWS", 100)
     rng = random.Random(15)
-    texts = [*edited_copies(rng, 1000), *edited_copies(rng, 30), *[sentence(rng, 40) for _ in range(50)]]
+    texts = [*edited_copies(rng, copies), *edited_copies(rng, 30), *[sentence(rng, 40) for _ in range(50)]]
     _, root = near_truth(texts)
     rows = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(5)
     got = {r["doc_id"]: r["component_id"] for r in near_dedup.near_duplicates(rows).collect()}
-    assert len(set(root)) > 60  # some copies link with none
+    assert len(set(root)) > 51  # some copies link with none
     assert sum(got[k] == root[k] for k in got) >= 0.99 * len(texts) and abs(len(set(got.values())) - len(set(root))) <= 0.01 * len(set(root))
 
 

@@ -7,7 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from tracequarry.functions import scalars as S
-from tracequarry.operators import compare, diagnostics, intervals, state, statistics, streams
+from tracequarry.operators import compare, diagnostics, intervals, shaders, state, statistics, streams
+from tracequarry.operators import quality as Q
 
 
 def samples(spark):
@@ -114,3 +115,39 @@ def test_scalars(spark):
     assert [r["k"] for r in kinds.collect()] == ["copy", "present", "sync", "other"]
     content = spark.createDataFrame([(bytearray(b"\x89PNG\r\n\x1a\n"),), (bytearray(b"plain text"),), (bytearray(range(256)),)], "c binary").select(S.content_extension(F.col("c")).alias("e"))
     assert [r["e"] for r in content.collect()] == ["png", "txt", "bin"]
+
+
+def test_quality_without_counters_and_of_a_locked_session(spark):
+    timing = spark.createDataFrame([(10, 5, 49.95)], "calls bigint, covered bigint, coverage_pct double")
+    buckets = spark.createDataFrame([], "call_count bigint, start_ns bigint, end_ns bigint")
+    frames = spark.createDataFrame([], "id string")
+    rows = [("GPU", " Device Name", "X1\t", 0), ("GPU", "Driver Version", None, 1), (Q.SETTINGS, "GPU Clocks", "Unlocked", 2), (Q.SETTINGS, "GPU Clocks ", "Locked to Boost", 3)]
+    rows += [(Q.SETTINGS, "V-Sync Mode", "Off", 4), (Q.SETTINGS, "Time Every Action", "NO", 5), (None, "Device Name", "other", 6)]
+    told = Q.capture_environment(spark.createDataFrame(rows, "table string, name string, value string, ord int"))
+    assert told.select("gpu", "driver", "chip").first() == ("X1", "", None)
+    got = {r["code"]: (r["status"], r["message"]) for r in Q.quality_checks(None, timing, buckets, frames, None, told).collect()}
+    assert {k: v[0] for k, v in got.items()} == {
+        "counter_image": "warn", "call_timestamp_coverage": "fail", "timing_buckets": "fail", "frame_markers": "warn", "gpu_clocks": "warn", "time_every_action": "warn",
+    }
+    assert got["gpu_clocks"][1].endswith("Locked to Boost") and got["call_timestamp_coverage"][1].endswith("50%.")
+    checks = Q.quality_checks(None, timing, buckets, frames)
+    assert Q.overall_status(checks).first()[0] == "fail" and Q.overall_status(checks.limit(0)).first()[0] == "unknown"
+    empty = Q.capture_environment(spark.createDataFrame([], "table string, name string, value string, ord int"))
+    assert {r["code"] for r in Q.quality_checks(None, timing, buckets, frames, None, empty).collect()} - set(got) == {"environment_identity"}
+
+
+def test_shaders(spark):
+    cols = "device_index int, index int, name string, entry_point string, stage string, shader_type string, source_file string, binary_sha256 string, binary_size bigint, registers_per_thread int, position bigint"
+    rows = [(0, 0, "Blur", "main", "cs", "x", "a.src", "1", 10, 8, 0), (0, 1, "Blur", "main", "cs", "x", None, "2", 20, 16, 1), (1, 0, "sky", None, "ps", "x", "b.src", None, None, None, 2)]
+    one = spark.createDataFrame(rows, cols)
+    two = spark.createDataFrame([(0, 0, "Blur", "main", "cs", "x", "a.src", "9", 14, 6, 0), (0, 1, "new", "main", "vs", "x", None, "3", 5, 4, 1), (1, 0, "sky", "", "ps", "x", "b.src", None, None, None, 2)], cols)
+    got = [(r["rank"], r["name"], r["occurrence"], r["register_delta"], r["binary_size_delta"]) for r in shaders.leading_deltas(shaders.shader_deltas(one, two)).collect()]
+    assert got == [(0, "Blur", 0, -2, 4), (1, "new", 0, None, None), (2, "Blur", 1, None, None), (3, "sky", 0, None, None)]
+    assert {r["change"] for r in shaders.shader_deltas(one, two.limit(0)).collect()} == {"removed"}
+    assert shaders.select_shader(one, "SKY").first()["device_index"] == 1 and shaders.select_shader(one, "0").first()["name"] == "Blur"
+    assert shaders.select_shader(one, "0", device=1).first()["name"] == "sky" and shaders.shader_inventory(one, "MAIN").count() == 2
+    for bad in ("blur", "nothing", "7"):
+        with pytest.raises(shaders.ShaderError):
+            shaders.select_shader(one, bad)
+    counts = {r["device_index"]: (r["blob_count"], r["module_count"], r["shader_count"]) for r in shaders.device_counts(one, one.limit(0), one.where("device_index = 1")).collect()}
+    assert counts == {0: (0, 0, 2), 1: (1, 0, 1)}

@@ -9,11 +9,12 @@ from .operators import compare as C
 from .operators import diagnostics as D
 from .operators import scope_tables as SC
 from .operators import selection as SE
+from .operators import shaders as SH
 from .operators import statistics as T
 from .operators import view
 from .operators.state import action_states
 from .plans import reports
-from .queries import KEYS, PARTS, QUERIES, SCANNED, SCOPED, STREAMS, _sides, debug_groups, metric_scan, oracle, query, scope_overlap_stats, timing_buckets
+from .queries import KEYS, ORACLES, PARTS, QUERIES, SCANNED, SCOPED, STREAMS, _sides, debug_groups, metric_scan, oracle, query, scope_overlap_stats, timing_buckets
 from .sources import substrate as sub
 from .sources.sinks import json_rows
 from .sources.substrate import STREAM, table
@@ -401,6 +402,70 @@ def capture_reference(spark: SparkSession, sf: str) -> DataFrame:
     return C.capture_reference(QUERIES["quality_checks"](spark, sf))
 
 
+oracle("capture_reference", f"SELECT arg_max(status, rank) AS quality, string_agg(CASE WHEN status <> 'pass' THEN code || ': ' || status END, ', ' ORDER BY rank DESC, code || ': ' || status) AS checks FROM ({ORACLES['quality_checks']})")
+
+
+oracle(
+    "scope_match",
+    """, m AS (SELECT stream_index AS side, name AS label, queue_index || ':' || sequence AS id, call_stop - call_start AS d FROM groups QUALIFY row_number() OVER (PARTITION BY stream_index ORDER BY d DESC NULLS LAST, id) <= 32),
+       o AS (SELECT *, row_number() OVER (PARTITION BY side, label ORDER BY d DESC NULLS LAST, id) - 1 AS occurrence FROM m)
+       SELECT label, occurrence, a.id AS id_a, a.d AS duration_a, b.id AS id_b, b.d AS duration_b, b.d - a.d AS duration_delta, CASE WHEN a.d <> 0 THEN CAST(b.d - a.d AS DOUBLE) / a.d * 100 END AS duration_pct
+       FROM (SELECT * FROM o WHERE side = 0) a JOIN (SELECT * FROM o WHERE side = 1) b USING (label, occurrence)""",
+    "ev", "calls", "groups",
+)
+
+
+# shaders
+
+
+def _shaders(spark: SparkSession, sf: str, build: int) -> DataFrame:
+    """Parts as the shaders of one of two builds: the second lacks some of the first's, has others instead, and compiled some differently."""
+    k = F.col("p_partkey")
+    p = table(spark, sf, "part").where(k % 5 != 3 + build)
+    return p.select(
+        (k % 2).alias("device_index"), F.floor(k / 2).alias("index"), F.col("p_name").alias("name"), F.when(k % 4 > 0, F.col("p_brand")).alias("entry_point"), F.col("p_type").alias("stage"),
+        F.lit("program").alias("shader_type"), F.when(k % 3 > 0, F.concat("p_name", F.lit(".src"))).alias("source_file"), k.alias("position"), F.col("p_size").alias("registers_per_thread"),
+        F.when(k % 7 > 0, F.sha2(F.concat_ws("/", "p_type", F.floor(k / 400).cast("string")), 256)).alias("binary_sha256"),
+        F.when(k % 7 > 0, F.floor(F.col("p_retailprice") + build)).alias("binary_size"),
+    )
+
+
+PARTS["shaders"] = """sh AS (SELECT p_partkey AS k, p_partkey % 2 AS device_index, p_partkey // 2 AS index, p_name AS name, CASE WHEN p_partkey % 4 > 0 THEN p_brand END AS entry_point, p_type AS stage, p_size AS regs,
+        CASE WHEN p_partkey % 3 > 0 THEN p_name || '.src' END AS source_file, CASE WHEN p_partkey % 7 > 0 THEN sha256(p_type || '/' || (p_partkey // 400)) END AS sha, p_retailprice AS price FROM part)"""
+
+
+@query
+def shader_inventory(spark: SparkSession, sf: str) -> DataFrame:
+    """Shaders of the second device that a pattern finds in any of their texts, whatever its case."""
+    return SH.shader_inventory(_shaders(spark, sf, 0), "^WIDGET|brand#1$|econ", 1).select("device_index", "index", "name", "entry_point", "stage", "source_file")
+
+
+oracle(
+    "shader_inventory",
+    """SELECT device_index, index, name, entry_point, stage, source_file FROM sh WHERE k % 5 <> 3 AND device_index = 1
+       AND (name ILIKE 'widget%' OR source_file ILIKE 'widget%' OR lower(entry_point) LIKE '%brand#1' OR lower(stage) LIKE '%econ%' OR lower(name) LIKE '%econ%' OR lower(source_file) LIKE '%econ%')""",
+    "shaders",
+)
+
+
+@query
+def shader_deltas(spark: SparkSession, sf: str) -> DataFrame:
+    return SH.shader_deltas(_shaders(spark, sf, 0), _shaders(spark, sf, 1))
+
+
+oracle(
+    "shader_deltas",
+    """, so AS (SELECT *, 0 AS build FROM sh WHERE k % 5 <> 3 UNION ALL SELECT *, 1 FROM sh WHERE k % 5 <> 4),
+       sn AS (SELECT build, name, coalesce(entry_point, '') AS entry_point, stage, source_file, sha, regs, CASE WHEN sha IS NOT NULL THEN CAST(floor(price + build) AS BIGINT) END AS size,
+              row_number() OVER (PARTITION BY build, name, coalesce(entry_point, ''), stage ORDER BY k) - 1 AS occurrence FROM so)
+       SELECT name, entry_point, stage, occurrence, a.sha AS binary_sha256_a, a.size AS binary_size_a, a.regs AS registers_per_thread_a, a.source_file AS source_file_a, b.sha AS binary_sha256_b, b.size AS binary_size_b,
+       b.regs AS registers_per_thread_b, b.source_file AS source_file_b, b.regs - a.regs AS register_delta, b.size - a.size AS binary_size_delta,
+       CASE WHEN a.build IS NULL THEN 'added' WHEN b.build IS NULL THEN 'removed' WHEN a.sha IS NOT DISTINCT FROM b.sha THEN 'unchanged' ELSE 'changed' END AS change
+       FROM (SELECT * FROM sn WHERE build = 0) a FULL OUTER JOIN (SELECT * FROM sn WHERE build = 1) b USING (name, entry_point, stage, occurrence)""",
+    "shaders",
+)
+
+
 # views
 
 

@@ -148,6 +148,13 @@ def threshold_status(value: Column, good: float = 90.0, bad: float = 50.0) -> Co
     return F.when(value.isNull(), "unknown").when(value >= good, "pass").when(value < bad, "fail").otherwise("warn")
 
 
+def threshold_message(label: str, value: Column, good: float = 90.0, bad: float = 50.0) -> Column:
+    """What ``threshold_status`` found, as text, with the value to one place."""
+    shown = F.format_string(f"{label}: %.1f%%", value)
+    limit = F.when(value < bad, f" is below the usable threshold of {bad:.0f}%.").when(value < good, f" is below the preferred {good:.0f}%.").otherwise(".")
+    return F.when(value.isNull(), f"{label}: unknown.").otherwise(F.concat(shown, limit))
+
+
 def status_rank(status: Column) -> Column:
     out = F.lit(None).cast("int")
     for name, rank in STATUS_RANK.items():

@@ -5,7 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import percent, saturating, status_rank, threshold_status
+from ..functions.scalars import percent, saturating, status_rank, threshold_message, threshold_status
+
+# fixed values: the info table and the name of each column's entry, and the table of settings
+ENVIRONMENT = {
+    "computer": ("System", "Computer Name"),
+    "operating_system": ("System", "Operating System"),
+    "gpu": ("GPU", "Device Name"),
+    "chip": ("GPU", "Chip Name"),
+    "driver": ("GPU", "Driver Version"),
+    "product_version": ("Session", "Product Version"),
+    "api": ("Session", "API"),
+    "process": ("Session", "Process File Name"),
+    "command_line": ("Session", "Command Line"),
+}
+SETTINGS = "Session Settings"
 
 
 def counter_coverage(samples: DataFrame, by: list[str] | None = None) -> DataFrame:
@@ -45,28 +59,88 @@ def counter_coverage(samples: DataFrame, by: list[str] | None = None) -> DataFra
     )
 
 
-def quality_checks(coverage: DataFrame, timing: DataFrame, buckets: DataFrame, frames: DataFrame) -> DataFrame:
-    """(``code``, ``status``, ``rank``): one row per check, from one-row summaries."""
+def quality_checks(
+    coverage: DataFrame | None, timing: DataFrame, buckets: DataFrame, frames: DataFrame, samples: DataFrame | None = None, environment: DataFrame | None = None
+) -> DataFrame:
+    """(``code``, ``status``, ``rank``, ``message``): one row per check, from one-row summaries.
+
+    Without ``coverage`` there are no counters, and only ``counter_image`` says so. The
+    window of the timing buckets is compared with that of ``samples`` where both have
+    one, and ``environment`` (of ``capture_environment``) gives the checks of the
+    machine and the session, of which only those that found something have a row.
+    """
     shared = buckets.agg(F.count("*").alias("n"), F.count_if(F.col("call_count") > 1).alias("shared"))
     status = lambda bad: F.when(bad, "warn").otherwise("pass")
-    gap = F.coalesce(F.col("max_sample_gap_ns"), F.lit(0)) > F.lit(4) * F.col("median_sample_duration_ns")
-    rows = [
-        coverage.select(F.lit("counter_image").alias("code"), F.lit("pass").alias("status")),
-        coverage.select(F.lit("counter_completeness"), threshold_status(F.col("complete_pct"))),
-        coverage.select(F.lit("counter_timestamps"), threshold_status(F.col("timestamped_pct"))),
-        coverage.where("median_sample_duration_ns is not null").select(F.lit("counter_window_gaps"), status(gap & (F.col("median_sample_duration_ns") > 0))),
-        timing.select(F.lit("call_timestamp_coverage"), threshold_status(F.col("coverage_pct"))),
-        shared.where("n = 0").select(F.lit("timing_buckets"), F.lit("fail")),
-        shared.where("n > 0").select(F.lit("action_attribution"), status(F.col("shared") * 2 > F.col("n"))),
-        frames.agg(F.count("*").alias("n")).select(F.lit("frame_markers"), status(F.col("n") == 0)),
+    row = lambda df, code, state, text: df.select(F.lit(code).alias("code"), (F.lit(state) if isinstance(state, str) else state).alias("status"), (F.lit(text) if isinstance(text, str) else text).alias("message"))
+    share = lambda df, code, of, text: row(df, code, threshold_status(F.col(of)), threshold_message(text, F.col(of)))
+    rows = []
+    if coverage is None:
+        rows.append(row(timing, "counter_image", "warn", "The capture holds no counter samples."))
+    else:
+        gap, median = F.coalesce("max_sample_gap_ns", F.lit(0)), F.col("median_sample_duration_ns")
+        wide = (gap > F.lit(4) * median) & (median > 0)
+        said = F.when(wide, F.concat(F.lit("Samples are up to "), gap.cast("string"), F.lit(" ns apart, more than four median samples."))).otherwise("Samples follow each other without wide gaps.")
+        rows += [
+            row(coverage, "counter_image", "pass", "The capture holds counter samples."),
+            share(coverage, "counter_completeness", "complete_pct", "Completed periodic samples"),
+            share(coverage, "counter_timestamps", "timestamped_pct", "Timestamped periodic samples"),
+            row(coverage.where("median_sample_duration_ns is not null"), "counter_window_gaps", status(wide), said),
+        ]
+    if coverage is not None and samples is not None:
+        valid = samples.where("timestamp_valid").agg(F.min_by("start_ns", "range_index").alias("from_ns"), F.max_by("end_ns", "range_index").alias("to_ns"))
+        timed = buckets.where("start_ns is not null and end_ns is not null").agg(F.min("start_ns").alias("start_ns"), F.max("end_ns").alias("end_ns"))
+        both = timed.crossJoin(F.broadcast(valid)).where("start_ns is not null and from_ns is not null")
+        outside = (F.col("start_ns") < F.col("from_ns")) | (F.col("end_ns") > F.col("to_ns"))
+        rows.append(row(both, "counter_timing_window", status(outside), F.when(outside, "Timing buckets begin before the samples or end after them.").otherwise("The samples cover all timing buckets.")))
+    most = F.col("shared") * 2 > F.col("n")
+    counted = F.concat(F.col("shared").cast("string"), F.lit(" of "), F.col("n").cast("string"), F.lit(" timing buckets hold several calls."))
+    rows += [
+        share(timing, "call_timestamp_coverage", "coverage_pct", "Calls covered by timestamp buckets"),
+        row(shared.where("n = 0"), "timing_buckets", "fail", "There are no timing buckets."),
+        row(shared.where("n > 0"), "action_attribution", status(most), counted),
+        row(frames.agg(F.count("*").alias("n")).where("n = 0"), "frame_markers", "warn", "There are no frames."),
     ]
+    if environment is not None:
+        rows += session_checks(environment)
     out = rows[0]
     for r in rows[1:]:
         out = out.union(r)
-    return out.withColumn("rank", status_rank(F.col("status")))
+    return out.select("code", "status", status_rank(F.col("status")).alias("rank"), "message")
+
+
+def session_checks(environment: DataFrame) -> list[DataFrame]:
+    """(``code``, ``status``, ``message``) of what the machine and the session's settings tell against a comparison."""
+    setting = lambda name: F.try_element_at("settings", F.lit(name))
+    clocks, vsync, every = setting("GPU Clocks"), setting("V-Sync Mode"), setting("Time Every Action")
+    locked = F.lower(clocks).contains("locked")
+    found = [
+        ("environment_identity", F.col("gpu").isNull() | F.col("driver").isNull(), F.lit("The device or its driver isn't named.")),
+        ("gpu_clocks", ~locked | F.lower(clocks).contains("boost"), F.concat(F.when(locked, "Clocks are locked to boost: ").otherwise("Clocks aren't locked: "), clocks)),
+        ("vsync", ~F.lower(vsync).contains("off"), F.concat(F.lit("Frames wait for the display: "), vsync)),
+        ("time_every_action", F.lower(every) == "no", F.lit("Not every action was timed.")),
+    ]
+    return [environment.where(bad).select(F.lit(code).alias("code"), F.lit("warn").alias("status"), text.alias("message")) for code, bad, text in found]
+
+
+def overall_status(checks: DataFrame) -> DataFrame:
+    """One row: the worst ``status`` of the checks, ``unknown`` if there is none."""
+    return checks.agg(F.coalesce(F.max_by("status", "rank"), F.lit("unknown")).alias("status"))
 
 
 def environment(entries: DataFrame, names: dict[str, tuple[str, str]]) -> DataFrame:
     """One row: for each column its (table, name) entry's value; of several the last by ``ord``."""
     picks = [F.max_by("value", F.when((F.col("table") == t) & (F.col("name") == n), F.col("ord"))).alias(c) for c, (t, n) in names.items()]
     return entries.agg(*picks)
+
+
+def capture_environment(entries: DataFrame) -> DataFrame:
+    """One row: machine, session and a map ``settings``, from entries (``table``, ``name``, ``value``, ``ord``) of the info tables.
+
+    Names and values lose white space at both ends; an entry without a value counts as
+    empty, a column without an entry is null, and of several the last by ``ord`` counts.
+    """
+    text = lambda c: F.regexp_replace(F.coalesce(c, F.lit("")), r"^\s+|\s+$", "").alias(c)
+    said = entries.select(F.coalesce("table", F.lit("")).alias("table"), text("name"), text("value"), "ord")
+    last = said.where(F.col("table") == SETTINGS).groupBy("name").agg(F.max_by("value", "ord").alias("value"))
+    settings = last.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("name", "value")))).alias("settings"))
+    return environment(said, ENVIRONMENT).crossJoin(F.broadcast(settings))

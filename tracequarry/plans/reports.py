@@ -26,6 +26,7 @@ class Capture:
     frames: DataFrame | None = None
     samples: DataFrame | None = None
     metric_samples: DataFrame | None = None
+    info_entries: DataFrame | None = None
 
 
 @dataclass
@@ -55,7 +56,8 @@ def analyze(capture: Capture, top: int = 8, width: int | None = None) -> Report:
     buckets = out.add("timing_buckets", (c.boundaries,), lambda: streams.timing_buckets(c.boundaries))
     timing = out.add("timing", (buckets, c.calls), lambda: streams.covered_calls(buckets, c.calls, False))
     coverage = out.add("counter_coverage", (c.samples,), lambda: quality.counter_coverage(c.samples))
-    out.add("quality", (coverage, timing, buckets, c.frames), lambda: quality.quality_checks(coverage, timing, buckets, c.frames))
+    told = None if c.info_entries is None else quality.capture_environment(c.info_entries)
+    out.add("quality", (timing, buckets, c.frames), lambda: quality.quality_checks(coverage, timing, buckets, c.frames, c.samples, told))
     out.add("frames", (c.frames,), lambda: intervals.frame_summary(c.frames))
     out.add("workload", (c.calls,), lambda: streams.workload_summary(c.calls))
     return out

@@ -464,23 +464,68 @@ oracle(
 )
 
 
+def info_entries(spark: SparkSession, sf: str) -> DataFrame:
+    """Entries of info tables: orders are settings by their priority, suppliers name the machine."""
+    setting = F.when(F.col("o_orderpriority") == "1-URGENT", "GPU Clocks").when(F.col("o_orderpriority") == "3-MEDIUM", " V-Sync Mode").when(F.col("o_orderpriority") == "5-LOW", "Time Every Action").otherwise(F.col("o_orderpriority"))
+    value = F.when(F.col("o_orderpriority") == "5-LOW", F.lit("No")).otherwise(F.concat(F.lit("mode "), F.col("o_orderstatus"), F.lit(" ")))
+    orders = table(spark, sf, "orders").select(F.lit(Q.SETTINGS).alias("table"), setting.alias("name"), value.alias("value"), F.col("o_orderkey").alias("ord"))
+    machine = table(spark, sf, "supplier").select(F.lit("GPU"), F.when(F.col("s_nationkey") < 12, "Device Name").otherwise("Chip Name"), "s_name", "s_suppkey")
+    return orders.union(machine)
+
+
+@query
+def capture_environment(spark: SparkSession, sf: str) -> DataFrame:
+    """Machine, session and settings, the map as text."""
+    got = Q.capture_environment(info_entries(spark, sf))
+    return got.withColumn("settings", F.array_join(F.transform(F.map_entries("settings"), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ";"))
+
+
+PARTS["entries"] = """entries AS (SELECT 'Session Settings' AS tab, CASE o_orderpriority WHEN '1-URGENT' THEN 'GPU Clocks' WHEN '3-MEDIUM' THEN 'V-Sync Mode' WHEN '5-LOW' THEN 'Time Every Action' ELSE o_orderpriority END AS name,
+               CASE o_orderpriority WHEN '5-LOW' THEN 'No' ELSE 'mode ' || o_orderstatus END AS value, o_orderkey AS ord FROM orders
+        UNION ALL SELECT 'GPU', CASE WHEN s_nationkey < 12 THEN 'Device Name' ELSE 'Chip Name' END, s_name, s_suppkey FROM supplier),
+        lasts AS (SELECT tab, name, arg_max(value, ord) AS value FROM entries GROUP BY tab, name)"""
+oracle(
+    "capture_environment",
+    """SELECT CAST(NULL AS VARCHAR) AS computer, CAST(NULL AS VARCHAR) AS operating_system, (SELECT value FROM lasts WHERE name = 'Device Name') AS gpu, (SELECT value FROM lasts WHERE name = 'Chip Name') AS chip,
+       CAST(NULL AS VARCHAR) AS driver, CAST(NULL AS VARCHAR) AS product_version, CAST(NULL AS VARCHAR) AS api, CAST(NULL AS VARCHAR) AS process, CAST(NULL AS VARCHAR) AS command_line,
+       (SELECT string_agg(name || '=' || value, ';' ORDER BY name) FROM lasts WHERE tab = 'Session Settings') AS settings""",
+    "entries",
+)
+
+
 @query
 def quality_checks(spark: SparkSession, sf: str) -> DataFrame:
-    return Q.quality_checks(counter_coverage(spark, sf), covered_calls(spark, sf), timing_buckets(spark, sf), sub.frames(spark, sf))
+    """All checks of a capture, those of its machine and session included."""
+    told = Q.capture_environment(info_entries(spark, sf))
+    return Q.quality_checks(counter_coverage(spark, sf), covered_calls(spark, sf), timing_buckets(spark, sf), sub.frames(spark, sf), sub.samples(spark, sf), told)
+
+
+def _threshold(code: str, label: str, value: str) -> str:
+    state = f"CASE WHEN {value} >= 90 THEN 'pass' WHEN {value} < 50 THEN 'fail' ELSE 'warn' END"
+    limit = f"CASE WHEN {value} >= 90 THEN '.' WHEN {value} < 50 THEN ' is below the usable threshold of 50%.' ELSE ' is below the preferred 90%.' END"
+    return f"SELECT '{code}', {state}, printf('{label}: %.1f%%', {value}) || {limit} FROM y"
 
 
-_STATUS = "CASE WHEN {0} >= 90 THEN 'pass' WHEN {0} < 50 THEN 'fail' ELSE 'warn' END"
 oracle(
     "quality_checks",
     f""", g AS (SELECT greatest(start_ns - lag(end_ns) OVER (ORDER BY range_index), 0) AS gap FROM samples WHERE timestamp_valid),
-       x AS (SELECT count(CASE WHEN complete THEN 1 END) * CAST(100 AS DOUBLE) / count(*) AS c, count(CASE WHEN timestamp_valid THEN 1 END) * CAST(100 AS DOUBLE) / count(*) AS t FROM samples),
-       y AS (SELECT (SELECT CAST(sum(call_count) AS DOUBLE) FROM buckets) * 100 / (SELECT count(*) FROM calls) AS p, (SELECT count(CASE WHEN call_count > 1 THEN 1 END) * 2 > count(*) FROM buckets) AS sh,
-             (SELECT coalesce(max(gap), 0) FROM g) > 4 * (SELECT list(duration_ns ORDER BY duration_ns)[count(*) // 2 + 1] FROM samples WHERE duration_ns IS NOT NULL) AS wide),
-       q AS (SELECT 'counter_image' AS code, 'pass' AS status UNION ALL SELECT 'counter_completeness', {_STATUS.format("c")} FROM x UNION ALL SELECT 'counter_timestamps', {_STATUS.format("t")} FROM x
-             UNION ALL SELECT 'counter_window_gaps', CASE WHEN wide THEN 'warn' ELSE 'pass' END FROM y UNION ALL SELECT 'call_timestamp_coverage', {_STATUS.format("p")} FROM y
-             UNION ALL SELECT 'action_attribution', CASE WHEN sh THEN 'warn' ELSE 'pass' END FROM y UNION ALL SELECT 'frame_markers', CASE WHEN (SELECT count(*) FROM frames) = 0 THEN 'warn' ELSE 'pass' END)
-       SELECT code, status, CASE status WHEN 'pass' THEN 0 WHEN 'warn' THEN 1 WHEN 'fail' THEN 2 ELSE 3 END AS rank FROM q""",
-    "ev", "s", "samples", "frames", "calls", "buckets",
+       x AS (SELECT count(CASE WHEN complete THEN 1 END) * CAST(100 AS DOUBLE) / count(*) AS c, count(CASE WHEN timestamp_valid THEN 1 END) * CAST(100 AS DOUBLE) / count(*) AS t,
+             arg_min(CASE WHEN timestamp_valid THEN start_ns END, CASE WHEN timestamp_valid THEN range_index END) AS s0, arg_max(CASE WHEN timestamp_valid THEN end_ns END, CASE WHEN timestamp_valid THEN range_index END) AS s1 FROM samples),
+       z AS (SELECT count(CASE WHEN call_count > 1 THEN 1 END) AS sh, count(*) AS n, CAST(sum(call_count) AS DOUBLE) AS cov, min(start_ns) AS b0, max(end_ns) AS b1 FROM buckets),
+       y AS (SELECT *, cov * 100 / (SELECT count(*) FROM calls) AS p, (SELECT coalesce(max(gap), 0) FROM g) AS gap, (SELECT list(duration_ns ORDER BY duration_ns)[count(*) // 2 + 1] FROM samples WHERE duration_ns IS NOT NULL) AS med,
+             (SELECT value FROM lasts WHERE name = 'GPU Clocks') AS clocks, (SELECT value FROM lasts WHERE name = 'V-Sync Mode') AS vs, (SELECT value FROM lasts WHERE name = 'Time Every Action') AS every FROM x, z),
+       q AS (SELECT 'counter_image' AS code, 'pass' AS status, 'The capture holds counter samples.' AS message
+             UNION ALL {_threshold("counter_completeness", "Completed periodic samples", "c")} UNION ALL {_threshold("counter_timestamps", "Timestamped periodic samples", "t")}
+             UNION ALL SELECT 'counter_window_gaps', CASE WHEN gap > 4 * med THEN 'warn' ELSE 'pass' END, CASE WHEN gap > 4 * med THEN 'Samples are up to ' || gap || ' ns apart, more than four median samples.' ELSE 'Samples follow each other without wide gaps.' END FROM y
+             UNION ALL SELECT 'counter_timing_window', CASE WHEN b0 < s0 OR b1 > s1 THEN 'warn' ELSE 'pass' END, CASE WHEN b0 < s0 OR b1 > s1 THEN 'Timing buckets begin before the samples or end after them.' ELSE 'The samples cover all timing buckets.' END FROM y
+             UNION ALL {_threshold("call_timestamp_coverage", "Calls covered by timestamp buckets", "p")}
+             UNION ALL SELECT 'action_attribution', CASE WHEN sh * 2 > n THEN 'warn' ELSE 'pass' END, sh || ' of ' || n || ' timing buckets hold several calls.' FROM y
+             UNION ALL SELECT 'frame_markers', 'warn', 'There are no frames.' FROM y WHERE (SELECT count(*) FROM frames) = 0
+             UNION ALL SELECT 'environment_identity', 'warn', 'The device or its driver isn''t named.' FROM y
+             UNION ALL SELECT 'gpu_clocks', 'warn', 'Clocks aren''t locked: ' || clocks FROM y WHERE clocks IS NOT NULL UNION ALL SELECT 'vsync', 'warn', 'Frames wait for the display: ' || vs FROM y WHERE vs IS NOT NULL
+             UNION ALL SELECT 'time_every_action', 'warn', 'Not every action was timed.' FROM y WHERE every IS NOT NULL)
+       SELECT code, status, CASE status WHEN 'pass' THEN 0 WHEN 'warn' THEN 1 WHEN 'fail' THEN 2 ELSE 3 END AS rank, message FROM q""",
+    "ev", "s", "samples", "frames", "calls", "buckets", "entries",
 )
 
 

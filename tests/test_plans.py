@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import json
+from dataclasses import replace
 
 import pytest
 from pyspark.sql import functions as F
@@ -46,6 +47,25 @@ def test_requests_that_are_refused(spark):
         metric_evaluation(capture)
 
 
+def test_sub_queries(spark):
+    base = Capture(sub.calls(spark, SMALL), sub.boundaries(spark, SMALL), sub.frames(spark, SMALL), sub.samples(spark, SMALL), sub.metric_samples(spark, SMALL))
+    artifacts = spark.createDataFrame([("a.bin", "Blob", bytearray(b"abcdef")), ("b.txt", "Text", bytearray(b"x"))], "path string, message_type string, content binary")
+    programs = spark.createDataFrame([(0, 0, "blur", "main", "cs", "x", None, 0), (1, 0, "sky", None, "ps", "x", None, 1)], "device_index int, index int, name string, entry_point string, stage string, shader_type string, source_file string, position bigint")
+    whole = replace(base, artifacts=artifacts, shaders=programs)
+    asked = [
+        {"type": "capture_quality"}, {"type": "timeline_gaps", "max_gaps": 2}, {"type": "metric_discovery", "kind": "ratio", "pattern": "HIT"}, {"type": "frame_series", "metrics": [sub.HIT_RATE], "limit": 3},
+        {"type": "artifact_inventory", "pattern": "blob|BLOB|Blob"}, {"type": "shader_inventory", "device": 1}, {"type": "scope_evidence", "scope": "bucket:1"}, {"type": "action_state", "limit": 2},
+    ]
+    got = {r["type"]: r["data"].collect() for r in query_capture(whole, asked)}
+    assert {r["code"] for r in got["capture_quality"]} >= {"counter_image", "counter_timing_window", "action_attribution"}
+    assert [r["metric"] for r in got["metric_discovery"]] == [sub.HIT_RATE] and len(got["frame_series"]) == 3 and got["frame_series"][0]["gap_ns"] is None
+    assert [r["path"] for r in got["artifact_inventory"]] == ["a.bin"] and [r["name"] for r in got["shader_inventory"]] == ["sky"]
+    assert len(got["scope_evidence"]) == 1 and len(got["action_state"]) == 2 and len(got["timeline_gaps"]) <= 8
+    for q in ({"type": "artifact_read"}, {"type": "shader_inventory"}, {"type": "scope_ranking", "kind": "frame"}):
+        with pytest.raises(QueryError):
+            query_capture(base, [q])
+
+
 def test_numbers_over_blocks(spark):
     rows = spark.createDataFrame([(k % 3, 7 * k) for k in range(200)], "key int, at bigint").repartition(4)
     got = sorted(tuple(r) for r in numbered(rows, ["key"], "at", "n", block=50).collect())

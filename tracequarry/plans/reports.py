@@ -12,7 +12,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import compare, diagnostics, intervals, quality, ranking, scope_tables, selection, state, statistics, streams
+from ..functions.scalars import metric_kind
+from ..operators import compare, diagnostics, intervals, quality, ranking, scope_tables, selection, shaders, state, statistics, streams
 from ..operators.overlap import overlap_join
 from ..operators.scopes import ScopeError, parse_scope, time_scope
 
@@ -27,6 +28,9 @@ class Capture:
     samples: DataFrame | None = None
     metric_samples: DataFrame | None = None
     info_entries: DataFrame | None = None
+    nvtx: DataFrame | None = None
+    shaders: DataFrame | None = None
+    artifacts: DataFrame | None = None
 
 
 @dataclass
@@ -98,7 +102,7 @@ def _index(capture: Capture) -> dict[str, DataFrame | None]:
     if c.calls is None or c.boundaries is None:
         raise QueryError("the capture has no calls or no timestamp boundaries")
     buckets = scope_tables.global_buckets(streams.timing_buckets(c.boundaries), c.calls)
-    return {"calls": c.calls, "buckets": buckets, "groups": streams.debug_groups(c.calls), "scopes": scope_tables.scope_table(c.calls, buckets, c.frames)}
+    return {"calls": c.calls, "buckets": buckets, "groups": streams.debug_groups(c.calls), "scopes": scope_tables.scope_table(c.calls, buckets, c.frames, c.nvtx)}
 
 
 def _states(capture: Capture) -> DataFrame:
@@ -129,6 +133,56 @@ def _inspect(capture: Capture, q: dict) -> DataFrame:
     return inspect_scope(capture, q["scope"])["calls"]
 
 
+def _need(table: DataFrame | None, what: str) -> DataFrame:
+    if table is None:
+        raise QueryError(f"the capture has no {what}")
+    return table
+
+
+def _quality(capture: Capture, q: dict) -> DataFrame:
+    c = capture
+    buckets = streams.timing_buckets(_need(c.boundaries, "timestamp boundaries"))
+    coverage = None if c.samples is None else quality.counter_coverage(c.samples)
+    told = None if c.info_entries is None else quality.capture_environment(c.info_entries)
+    timing = streams.covered_calls(buckets, _need(c.calls, "calls"), False)
+    return quality.quality_checks(coverage, timing, buckets, _need(c.frames, "frames"), c.samples, told)
+
+
+def _lanes(capture: Capture) -> DataFrame:
+    return streams.timing_buckets(_need(capture.boundaries, "timestamp boundaries")).where("start_ns is not null")
+
+
+def _most(q: dict, name: str, default: int) -> int:
+    return max(1, min(selection.MOST_ROWS, q.get(name, default)))
+
+
+def _discovery(capture: Capture, q: dict) -> DataFrame:
+    """Metrics that were collected, by kind and by a pattern that doesn't tell case."""
+    names = _need(capture.metric_samples, "metric samples").select("metric").distinct().withColumn("kind", metric_kind(F.col("metric")))
+    pattern = q.get("pattern")
+    return _page(names.where(selection.of_kind(q.get("kind")) & selection.matching(pattern and f"(?i){pattern}", "metric")), q, ["metric"])
+
+
+def _frame_series(capture: Capture, q: dict) -> DataFrame:
+    """Frames with the gap before each and the statistics of chosen metrics in it; a frame has a row for each metric."""
+    c = capture
+    frames = _need(c.frames, "frames")
+    paced = intervals.frame_pacing(frames).select("id", "start_ns", "duration_ns", "gap_ns")
+    rows = _need(c.metric_samples, "metric samples").where(F.col("metric").isin(list(q.get("metrics", ()))))
+    stats = statistics.overlap_statistics(frames.select("id", "start_ns", "end_ns"), _need(c.samples, "samples"), rows)
+    return _page(paced.join(stats.select("id", "metric", "mean", "p95", "coverage_pct"), "id", "left"), q, ["start_ns", "id", "metric"])
+
+
+def _ranked(capture: Capture, q: dict) -> DataFrame:
+    """Scopes of a kind by a statistic of one metric."""
+    if "kind" not in q or "metric" not in q:
+        raise QueryError("kind and metric are required")
+    c = capture
+    found = selection.scopes_query(_index(c)["scopes"], q["kind"], q.get("pattern")).where("start_ns is not null").select("id", "start_ns", "end_ns")
+    stats = statistics.overlap_statistics(found, _need(c.samples, "samples"), _need(c.metric_samples, "metric samples").where(F.col("metric") == q["metric"]))
+    return ranking.rank_scopes(stats, q.get("statistic", "mean"), q.get("descending", True), _most(q, "top", 8))
+
+
 #: Sub-queries by type, from a capture and the query's arguments.
 QUERY_TYPES = {
     "calls": _calls,
@@ -141,8 +195,19 @@ QUERY_TYPES = {
     "metric_evaluation": lambda c, q: metric_evaluation(c, q.get("metrics", ()), q.get("patterns", ()), q.get("scopes", ())),
     "debug_groups": lambda c, q: _page(streams.debug_groups(c.calls), q, [*streams.STREAM, "sequence"]),
     "frames": lambda c, q: _page(intervals.frame_summary(c.frames), q, [F.lit(1)]),
-    "scope_counts": lambda c, q: scope_tables.scope_counts(c.calls, _index(c)["buckets"], _index(c)["groups"], c.frames),
+    "scope_counts": lambda c, q: scope_tables.scope_counts(c.calls, _index(c)["buckets"], _index(c)["groups"], c.frames, c.nvtx),
     "workload": lambda c, q: streams.workload_summary(c.calls),
+    "capture_quality": _quality,
+    "timeline": lambda c, q: intervals.lane_timeline(_lanes(c), streams.STREAM, q.get("min_gap_ns", 1000)),
+    "timeline_gaps": lambda c, q: intervals.top_gaps(_lanes(c), streams.STREAM, q.get("min_gap_ns", 1000), _most(q, "max_gaps", 20)),
+    "action_state": lambda c, q: QUERY_TYPES["action_states"](c, q),
+    "metric_discovery": _discovery,
+    "frame_series": _frame_series,
+    "scope_ranking": _ranked,
+    "scope_evidence": lambda c, q: scope_evidence(c, q["scope"])["evidence"],
+    "artifact_inventory": lambda c, q: _page(selection.artifacts_query(_need(c.artifacts, "artifacts"), q.get("pattern")), q, ["path"]),
+    "artifact_read": lambda c, q: selection.read_artifact(_need(c.artifacts, "artifacts"), q["path"], q.get("offset", 0), q.get("limit", 4096)),
+    "shader_inventory": lambda c, q: _page(shaders.shader_inventory(_need(c.shaders, "shaders"), q.get("pattern"), q.get("device")), q, ["position"]),
 }
 
 
@@ -157,7 +222,7 @@ def query_capture(capture: Capture, queries: list[dict]) -> list[dict]:
     for k, q in enumerate(queries):
         try:
             out.append({"index": k, "type": q["type"], "data": QUERY_TYPES[q["type"]](capture, q)})
-        except (QueryError, ScopeError) as problem:
+        except (QueryError, ScopeError, KeyError) as problem:
             raise QueryError(f"queries[{k}] ({q['type']}): {problem}") from problem
     return out
 
@@ -217,7 +282,7 @@ def overview(capture: Capture) -> dict[str, DataFrame]:
     at = _index(capture)
     return {
         "calls": streams.workload_summary(capture.calls), "histogram": streams.call_histogram(capture.calls),
-        "scopes": scope_tables.scope_counts(capture.calls, at["buckets"], at["groups"], capture.frames),
+        "scopes": scope_tables.scope_counts(capture.calls, at["buckets"], at["groups"], capture.frames, capture.nvtx),
         "longest": ranking.longest_buckets(at["buckets"], ["index"]), "frames": capture.frames,
     }
 

@@ -709,7 +709,7 @@ oracle(
     "view_filter_sort_page",
     "SELECT event_id, CAST(regexp_extract(props, '(-?[0-9]+)', 1) AS BIGINT) AS k, value FROM events WHERE CAST(regexp_extract(props, '(-?[0-9]+)', 1) AS BIGINT) >= 50 ORDER BY value DESC NULLS LAST, event_id LIMIT 25 OFFSET 10",
 )
-from . import capture_queries  # noqa: E402, F401  registers its queries
+from . import capture_queries, detail_queries  # noqa: E402, F401  register their queries
 
 for _name in list(ORACLES):
     ORACLES[_name] = ORACLES[_name].replace("\n, ", ",\n")

@@ -103,8 +103,9 @@ def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Line items as intervals of their supplier's lane."""
+    """Line items as intervals of their supplier's lane. Quantities are rounded to whole minutes, half to even, as DuckDB's CAST does."""
     start = F.unix_micros(F.col("l_shipdate").cast("timestamp")) * 1000
+    minutes = F.bround("l_quantity", 0).cast("bigint")
     return table(spark, sf_dir, "lineitem").select(
-        F.col("l_suppkey").alias("lane"), start.alias("start_ns"), (start + F.col("l_quantity").cast("bigint") * 60_000_000_000).alias("end_ns")
+        F.col("l_suppkey").alias("lane"), start.alias("start_ns"), (start + minutes * 60_000_000_000).alias("end_ns")
     )
